@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from .lattice_lm import op7_lattice_lm
 from .line_dedup import OP1_SQL, op1_line_dedup
 from .line_quality import OP10_SQL, op10_quality_rules
 from .mixing import OP6_SQL, op6_mixing
 from .neighbours import op8_neighbours
 from .packing import op4_packing
 from .simhash import op2_simhash
+from .toxicity import op5_toxicity
 from .warc import op3_warc
 
 QUERIES = {
@@ -15,7 +17,9 @@ QUERIES = {
     "op2_simhash": op2_simhash,
     "op3_warc": op3_warc,
     "op4_packing": op4_packing,
+    "op5_toxicity": op5_toxicity,
     "op6_mixing": op6_mixing,
+    "op7_lattice_lm": op7_lattice_lm,
     "op8_neighbours": op8_neighbours,
     "op10_quality_rules": op10_quality_rules,
 }
