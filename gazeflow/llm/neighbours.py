@@ -5,7 +5,8 @@ Each random projection keeps the vectors of a shard in sorted order. A query ope
 vector in the windows of many projections is probably near, and those over a threshold are verified by the exact product.
 Windows then widen (virtual rehashing: the arrays stay) until the k-th best verified vector is within the radius that the
 windows stand for. The threshold lies Z standard deviations below the expected count at that radius, so a true neighbour
-is verified with probability 0.977; if windows get to cover everything, all is verified.
+at that radius is
+verified with probability 0.93, nearer ones more often; if windows get to cover everything, all is verified.
 
 Largest inner products become nearest distances by one more coordinate, sqrt(M^2 - |x|^2), with M the largest norm of all.
 
@@ -24,13 +25,13 @@ from pyspark.sql import functions as F
 
 from .common import plain, table, written
 
-SHARD_ROWS = 8192
-BLOCK_ROWS = 1024
+SHARD_ROWS = 65_536
+BLOCK_ROWS = 512
 PROJECTIONS = 128
-Z = 2.0
+Z = 1.5
 #: The radius of the first windows, on vectors scaled to norm 1 at most, and its growth from round to round.
-FIRST_RADIUS = 0.2
-GROWTH = 1.3
+FIRST_RADIUS = 0.5
+GROWTH = 1.5
 SEED = 20
 #: The probability that a standard normal number lies within one standard deviation.
 P_WITHIN = 0.6826894921370859
