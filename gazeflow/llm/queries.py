@@ -9,6 +9,7 @@ from .mixing import OP6_SQL, op6_mixing
 from .neighbours import op8_neighbours
 from .packing import op4_packing
 from .simhash import op2_simhash
+from .substring_dedup import op9_substring_dedup
 from .toxicity import op5_toxicity
 from .warc import op3_warc
 
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_mixing": op6_mixing,
     "op7_lattice_lm": op7_lattice_lm,
     "op8_neighbours": op8_neighbours,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
 
