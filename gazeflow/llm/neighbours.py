@@ -4,9 +4,8 @@ al., 2015).
 Each random projection keeps the vectors of a shard in sorted order. A query opens a window around its own value in each; a
 vector in the windows of many projections is probably near, and those over a threshold are verified by the exact product.
 Windows then widen (virtual rehashing: the arrays stay) until the k-th best verified vector is within the radius that the
-windows stand for. The threshold lies Z standard deviations below the expected count at that radius, so a true neighbour
-at that radius is
-verified with probability 0.93, nearer ones more often; if windows get to cover everything, all is verified.
+windows stand for. The threshold lies Z standard deviations below the expected count at that radius, so a true neighbour at
+that radius is verified with probability 0.93, nearer ones more often; if windows get to cover everything, all is verified.
 
 Largest inner products become nearest distances by one more coordinate, sqrt(M^2 - |x|^2), with M the largest norm of all.
 
@@ -25,13 +24,13 @@ from pyspark.sql import functions as F
 
 from .common import plain, table, written
 
-SHARD_ROWS = 65_536
+SHARD_ROWS = 60_000
 BLOCK_ROWS = 512
 PROJECTIONS = 128
 Z = 1.5
 #: The radius of the first windows, on vectors scaled to norm 1 at most, and its growth from round to round.
-FIRST_RADIUS = 0.5
-GROWTH = 1.5
+FIRST_RADIUS = 1.0
+GROWTH = 1.25
 SEED = 20
 #: The probability that a standard normal number lies within one standard deviation.
 P_WITHIN = 0.6826894921370859
@@ -46,29 +45,32 @@ class Shard:
         lift = np.sqrt(np.maximum(0.0, 1.0 - (scaled * scaled).sum(axis=1)))
         self.axes = np.random.default_rng(SEED).standard_normal((x.shape[1] + 1, projections))
         values = np.column_stack([scaled, lift]) @ self.axes
-        self.order = np.ascontiguousarray(np.argsort(values, axis=0, kind="stable").T)
+        order = np.argsort(values, axis=0, kind="stable").T
+        # Each vector's place in each sorted array: it is in a window if its place is.
+        self.place = np.empty((projections, len(x)), np.uint16 if len(x) < 1 << 16 else np.uint32)
+        np.put_along_axis(self.place, order, np.arange(len(x), dtype=self.place.dtype)[None, :], axis=1)
         # One flat sorted array: the values of projection j are moved by j times more than their whole range.
         self.shift = np.arange(projections) * 256.0
-        self.flat = (np.clip(np.take_along_axis(values, self.order.T, 0), -100, 100).T + self.shift[:, None]).ravel()
+        self.flat = (np.clip(np.take_along_axis(values, order.T, 0), -100, 100).T + self.shift[:, None]).ravel()
         self.least = projections * P_WITHIN - Z * (projections * P_WITHIN * (1 - P_WITHIN)) ** 0.5
 
     def search(self, q: np.ndarray, k: int, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows and exact products of the k best verified vectors; own: rows that don't count."""
         n, norm = len(self.x), float(np.sqrt((q * q).sum()))
         centre = np.clip((q / norm) @ self.axes[:-1], -100, 100) + self.shift
-        counts, seen = np.zeros(n, np.int64), np.zeros(n, bool)
+        seen = np.zeros(n, bool)
         seen[own] = True
         base = np.arange(self.m) * n
-        low = high = np.searchsorted(self.flat, centre)
         rows, scores, radius = np.empty(0, np.int64), np.empty(0), FIRST_RADIUS
-        order = self.order.ravel()
+        counts, moved, inside = np.empty(n, np.uint8), np.empty_like(self.place[0]), np.empty(n, bool)
         while True:
-            low2 = np.maximum(np.searchsorted(self.flat, centre - radius, "left"), base)
-            high2 = np.minimum(np.searchsorted(self.flat, centre + radius, "right"), base + n)
-            ring = [order[a:b] for a, b in zip(low2.tolist(), low.tolist(), strict=True) if a < b] + [order[a:b] for a, b in zip(high.tolist(), high2.tolist(), strict=True) if a < b]
-            if ring:
-                counts += np.bincount(np.concatenate(ring), minlength=n)
-            low, high = np.minimum(low, low2), np.maximum(high, high2)
+            low = np.maximum(np.searchsorted(self.flat, centre - radius, "left") - base, 0)
+            high = np.minimum(np.searchsorted(self.flat, centre + radius, "right") - base, n)
+            counts[:] = 0
+            for place, a, b in zip(self.place, low.astype(moved.dtype), np.maximum(high - low, 0).astype(moved.dtype), strict=True):
+                np.subtract(place, a, out=moved)  # unsigned: places below the window become large
+                np.less(moved, b, out=inside)
+                np.add(counts, inside.view(np.uint8), out=counts)
             last = radius > 2.1  # no two points are farther apart than 2
             new = np.flatnonzero(~seen if last else (counts >= self.least) & ~seen)
             if len(new):
