@@ -257,20 +257,19 @@ def train(docs: DataFrame, labels: DataFrame, *, learns: str, max_train: int = M
 
             for b in batches:
                 words, values, bad = [], [], []
-                memory: dict[str, float] = {}
-                for toxic, text in zip(b.column("toxic").to_pylist(), b.column("text").to_pylist(), strict=True):
-                    known = sorted(parts(text), key=lambda w: zlib.crc32(w.encode("utf-8", "surrogatepass")))
-                    if model is None:
-                        fits = {w: first_look(w) for w in known}
-                    else:
-                        model.values([text], memory)
-                        fits = {w: memory[w] for w in known} if memory else dict(zip(known, model.machine.scores(known).tolist(), strict=True))
-                    # A toxic text's witnesses hold a telling run of letters; its other words are as any text's.
-                    some = sorted((w for w in known if not toxic or first_look(w) > SIGN), key=lambda w: (-fits[w], w))[:4]
-                    some += [] if toxic else known[:3]
-                    words += some
-                    values += [fits[w] for w in some]
-                    bad += [toxic] * len(some)
+                all_toxic, texts = b.column("toxic").to_pylist(), b.column("text").to_pylist()
+                for i in range(0, len(texts), 128):
+                    known = [sorted(parts(t), key=lambda w: zlib.crc32(w.encode("utf-8", "surrogatepass"))) for t in texts[i : i + 128]]
+                    new = list(set().union(*known))
+                    look = {w: first_look(w) for w in new}
+                    fits = look if model is None else dict(zip(new, model.machine.scores(new).tolist(), strict=True))
+                    for toxic, own in zip(all_toxic[i : i + 128], known, strict=True):
+                        # A toxic text's witnesses hold a telling run of letters; its other words are as any text's.
+                        some = sorted((w for w in own if not toxic or look[w] > SIGN), key=lambda w: (-fits[w], w))[:4]
+                        some += [] if toxic else own[:3]
+                        words += some
+                        values += [fits[w] for w in some]
+                        bad += [toxic] * len(some)
                 yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(values, pa.float64()), pa.array(bad, pa.int32())], ["word", "value", "bad"])
 
         return sample.select("toxic", "text").mapInArrow(each, "word string, value double, bad int").orderBy("bad", "value", "word").toPandas()
