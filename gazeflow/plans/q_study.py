@@ -106,10 +106,10 @@ def pairwise_distance(spark, d):
     return _pairs(spark, d).select("series1", "series2", "day", F.round(fn.distance(F.col("a1"), F.col("b1"), F.col("a2"), F.col("b2")), 4).alias("dist"))
 
 
-@query("pair_heatmap_pivot", _DAY + ", SS AS (SELECT least(series1, series2) % 5 AS a, greatest(series1, series2) % 5 AS b, sqrt(pow(a1 - a2, 2)) AS dist FROM P) SELECT a, round(avg(dist) FILTER (WHERE b = 0), 4) AS c0, round(avg(dist) FILTER (WHERE b = 1), 4) AS c1, round(avg(dist) FILTER (WHERE b = 2), 4) AS c2, round(avg(dist) FILTER (WHERE b = 3), 4) AS c3, round(avg(dist) FILTER (WHERE b = 4), 4) AS c4 FROM SS GROUP BY a")
+@query("pair_heatmap_pivot", _DAY + ", SS AS (SELECT least(series1, series2) % 5 AS a, greatest(series1, series2) % 5 AS b, sqrt(pow(a1 - a2, 2)) AS dist FROM P) SELECT a, round(avg(dist) FILTER (WHERE b = 0) + 1e-9, 4) AS c0, round(avg(dist) FILTER (WHERE b = 1) + 1e-9, 4) AS c1, round(avg(dist) FILTER (WHERE b = 2) + 1e-9, 4) AS c2, round(avg(dist) FILTER (WHERE b = 3) + 1e-9, 4) AS c3, round(avg(dist) FILTER (WHERE b = 4) + 1e-9, 4) AS c4 FROM SS GROUP BY a")
 def pair_heatmap_pivot(spark, d):
     p = _pairs(spark, d).select((F.least("series1", "series2") % 5).alias("a"), (F.greatest("series1", "series2") % 5).alias("b"), F.abs(F.col("a1") - F.col("a2")).alias("dist"))
-    p = p.groupBy("a").pivot("b", [0, 1, 2, 3, 4]).agg(F.round(F.avg("dist"), 4))
+    p = p.groupBy("a").pivot("b", [0, 1, 2, 3, 4]).agg(F.round(F.avg("dist") + 1e-9, 4))
     return p.select("a", *(F.col(str(i)).alias(f"c{i}") for i in range(5)))
 
 
