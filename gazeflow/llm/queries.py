@@ -9,9 +9,9 @@ from .mixing import OP6_SQL, op6_mixing
 from .neighbours import op8_neighbours
 from .packing import op4_packing
 from .simhash import op2_simhash
-from .substring_dedup import op9_substring_dedup
+from .substring_dedup import OP9_SQL, op9_substring_dedup
 from .toxicity import op5_toxicity
-from .warc import op3_warc
+from .warc import OP3_SQL, op3_warc
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLE_SQL = {"op1_line_dedup": OP1_SQL, "op6_mixing": OP6_SQL, "op10_quality_rules": OP10_SQL}
+ORACLE_SQL = {"op1_line_dedup": OP1_SQL, "op3_warc": OP3_SQL, "op6_mixing": OP6_SQL, "op9_substring_dedup": OP9_SQL, "op10_quality_rules": OP10_SQL}
