@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import packed, plain, table, unpacked, words_sql, written
+from .common import maybe_broadcast, packed, plain, table, unpacked, words_sql, written
 
 #: About so many documents share a key range.
 RANGE_ROWS = 2000
@@ -62,7 +62,8 @@ def source_plan(sized: DataFrame, weights: tuple[float, ...], share: float, cap:
     sums = written(sums.select("source", "source_size", "target", "epochs", "rest", "ranges"), "mix-sources")
 
     key_range = F.least(F.col("ranges") - 1, F.floor(F.col("p") * F.col("ranges"))).cast("long")
-    s = sums.select(F.col("source").alias("s"), "rest", "ranges").where("rest > 0")
+    n = sums.count()
+    s = maybe_broadcast(sums.select(F.col("source").alias("s"), "rest", "ranges").where("rest > 0"), n)
     placed = sized.join(s, F.col("source").eqNullSafe(F.col("s"))).withColumn("key_range", key_range)
     sums_of = placed.groupBy("s", "key_range").agg(F.sum("size").alias("size"), F.first("rest").alias("rest"))
     upto = F.sum("size").over(W.partitionBy("s").orderBy("key_range"))
@@ -72,7 +73,8 @@ def source_plan(sized: DataFrame, weights: tuple[float, ...], share: float, cap:
     upto = F.sum("size").over(W.partitionBy("t").orderBy("key", F.col("doc_id").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0))
     cut = ties.withColumn("upto", upto).where("upto >= left AND upto - size < left")
     cut = cut.select("t", F.col("key").alias("cut_key"), F.col("doc_id").alias("cut_id"), F.expr("(left - upto + size) div n").alias("cut_take"))
-    return sums.join(cut, F.col("source").eqNullSafe(F.col("t")), "left").select(F.col("source").alias("s"), "source_size", "target", "epochs", "cut_key", "cut_id", "cut_take")
+    out = sums.join(cut, F.col("source").eqNullSafe(F.col("t")), "left")
+    return maybe_broadcast(out.select(F.col("source").alias("s"), "source_size", "target", "epochs", "cut_key", "cut_id", "cut_take"), n)
 
 
 def _taken(sized: DataFrame, sources: DataFrame) -> DataFrame:
