@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import packed, table, words_sql
+from .common import maybe_broadcast, packed, table, words_sql, written
 
 MIN_WORDS = 20
 REPEAT_WINDOW = 8
@@ -86,8 +86,9 @@ _FIELDS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 def rules_of(docs: DataFrame, *, host: str = "source", max_share: float = MAX_SHARE, min_docs: int = MIN_DOCS, min_left: float = MIN_LEFT) -> tuple[DataFrame, list[str]]:
     """row (the columns of docs as a struct), doc_id and the fields of line_frequency_rules(); and the names of docs."""
     rows, names = packed(docs, doc_id="doc_id:long", text="text:string", host=f"{host}:string")
-    found = frequent_lines(rows.select("doc_id", "text", "host"), max_share, min_docs)
-    out = text_signals(rows).join(found, F.col("host").eqNullSafe(F.col("h")), "left")
+    found = written(frequent_lines(rows.select("doc_id", "text", "host"), max_share, min_docs), "frequent-lines")
+    hashes = found.agg(F.coalesce(F.sum(F.size("frequent") + 1), F.lit(0))).first()[0]
+    out = text_signals(rows).join(maybe_broadcast(found, hashes), F.col("host").eqNullSafe(F.col("h")), "left")
     line_hash = f"xxhash64({_NORM.format(x='x')})"
     hit = f"CASE WHEN frequent IS NULL THEN cast(array() AS array<long>) ELSE array_intersect(transform(raw_lines, x -> {line_hash}), frequent) END"
     out = out.withColumn("hit", F.expr(hit))
