@@ -239,6 +239,19 @@ def _piece_counts(vocab: DataFrame, model_file: str, counts: np.ndarray | None,
     return out
 
 
+def _least_count(vocab: DataFrame, most: int) -> int:
+    """A count that at most so many words reach; counts are looked at by eighths of powers of two, so few rows come to the driver."""
+    step = F.floor(F.log2("c") * 8).cast("int").alias("step")
+    sizes = vocab.where("c > 1").groupBy(step).agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("least")).orderBy(F.desc("step")).collect()
+    least, total = (1 << 62), 0
+    for r in sizes:
+        total += r.n
+        if total > most:
+            break
+        least = r.least
+    return least
+
+
 def score(docs: DataFrame, *, vocabulary: str, held_out: str = "pmod(crc32(cast(coalesce(cast(doc_id AS string), '') AS binary)), 7) = 2", head_words: int = HEAD_WORDS, em_rounds: int = EM_ROUNDS) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 of the probability of the
     text's words and its end).
@@ -274,7 +287,7 @@ def score(docs: DataFrame, *, vocabulary: str, held_out: str = "pmod(crc32(cast(
             yield pa.RecordBatch.from_arrays([b.column("word"), b.column("c"), pa.array(lp / LOG10)], ["word", "c", "lp"])
 
     vocab = written(counted.mapInArrow(price, "word binary, c long, lp double"), "lm-vocabulary")
-    head = vocab.where("c > 1").orderBy(F.col("c").desc(), "word").limit(head_words).toPandas()
+    head = vocab.where(F.col("c") >= _least_count(vocab, head_words)).toPandas()
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((head["word"].map(bytes).tolist(), np.log10(head["c"].to_numpy(float) + 1.0), head["lp"].to_numpy(float)))
 
