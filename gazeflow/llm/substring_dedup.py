@@ -184,7 +184,8 @@ def repeats(docs: DataFrame, pressed: DataFrame, window: int) -> DataFrame:
 
     doc_type = "struct<doc_id: bigint, text_hash: bigint>"
     every = written(docs.select("doc", "text").mapInArrow(cut, f"anchor long, seg long, doc {doc_type}, first int, n int"), "anchors")
-    shared = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("anchor").alias("a"))
+    # Written, so that both sides of the join come straight from a shuffle and AQE can split an anchor that is everywhere.
+    shared = written(every.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("anchor").alias("a")), "shared-anchors")
     some = written(every.join(shared, F.col("anchor") == F.col("a"), "left_semi"), "segments")
     kinds = some.groupBy("anchor", "seg").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("doc", "first")).alias("rep"), F.first("n").alias("n"))
     kinds = written(kinds, "kinds")
