@@ -47,18 +47,24 @@ def fingerprint(text: str | None, shingle: int = 3, words64: int = 1) -> bytes:
     counts = np.zeros((words64, 64), np.int64)
     for at in range(0, len(starts), BLOCK):
         pieces = [joined[a:b] for a, b in zip(starts[at : at + BLOCK], ends[at : at + BLOCK], strict=True)]
-        if words64 == 1:
-            h = np.array([xxh64_intdigest(p, SEED) for p in pieces], ">u8")
-            counts[0] += _bit_counts(h)
-        else:
-            h = np.array([xxh64_intdigest(p, SEED) for p in pieces], np.uint64)
-            for k in range(words64):
-                counts[k] += _bit_counts((_mixed(h, k) if k else h).astype(">u8"))
+        h = np.array([xxh64_intdigest(p, SEED) for p in pieces], np.uint64)
+        for k in range(words64):
+            counts[k] += _bit_counts(_mixed(h, k) if k else h)
     return np.packbits(2 * counts > len(starts), axis=1).tobytes()
 
 
+_LANES = np.uint64(0x0101010101010101)
+
+
 def _bit_counts(h: np.ndarray) -> np.ndarray:
-    return np.add.reduce(np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1), axis=0, dtype=np.uint32)
+    """How many of the hashes have each bit, the most significant first. Every eighth bit is counted at once: eight one-byte sums in a
+    word, of 255 hashes at most."""
+    h = np.pad(h, (0, -len(h) % 255))
+    out = np.empty((8, 8), np.int64)
+    for k in range(8):
+        sums = ((h >> np.uint64(k)) & _LANES).reshape(-1, 255).sum(axis=1)
+        out[:, k] = sums.astype("<u8").view(np.uint8).reshape(-1, 8).sum(axis=0, dtype=np.int64)
+    return out.ravel()[::-1]
 
 
 def _mixed(h: np.ndarray, k: int) -> np.ndarray:
@@ -158,14 +164,14 @@ def links(nodes: DataFrame, n_bytes: int, max_diff: int, key_bytes: int | None)
     return lists.select("of").mapInArrow(each, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = 5, words64: int = 16, max_diff: int | None = None, similarity: float = 0.8, key_bytes: int | None = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, shingle: int = 5, words64: int = 32, max_diff: int | None = None, similarity: float = 0.8, key_bytes: int | None = 3) -> DataFrame:
     """One row per document: doc_id, text_hash, sig, component_id (the smallest doc_id of those reachable over links), node
     (the group's own key), first (the group's first document: struct of no_id, doc_id, text_hash).
 
     shingle: words in one. words64: 64-bit words of a fingerprint. max_diff: differing bits of a link at most; None: what
     shingle sets of this similarity (Jaccard) differ in on average, plus one standard deviation. key_bytes: None: the exact
-    index, which finds every link but needs a small max_diff; otherwise the bytes of a posting key (3 with 1024 bits: a pair
-    of similarity 0.9 meets in one of 42 lists in 97 % of cases, of 0.95 always but for 0.03 %).
+    index, which finds every link but needs a small max_diff; otherwise the bytes of a posting key (3 with 2048 bits: a pair
+    of similarity 0.9 meets in one of 85 lists in 99.8 % of cases, of 0.85 in 97 %, of 0.8 in 82 %).
 
     Texts without words (also null ones) have zero fingerprints and link to each other. Equal rows are two documents of
     one group. Null ids: component_id is the smallest other one, or null. No rows: no rows."""
