@@ -116,3 +116,35 @@ def spike_filter(df: DataFrame, value: str, name: str, axis: Axis = SERIES) -> D
            ELSE _a[i - 1].v END)))""")
     rows = rows.withColumn("_f", fold).select(F.explode(F.arrays_zip(F.col("_a.row").alias("row"), F.col("_f").alias("f"))).alias("z"))
     return rows.select("z.row.*", F.col("z.f").alias("_x")).withColumnRenamed("_x", name) if name not in df.columns else rows.select(*(F.col(f"z.row.{c}").alias(c) for c in df.columns if c != name), F.col("z.f").alias(name))
+
+
+def row_mean(*columns: str) -> Column:
+    """The mean of those that aren't missing; null if all are."""
+    n = sum((F.col(c).isNotNull().cast("int") for c in columns), F.lit(0))
+    return F.try_divide(sum((F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns), F.lit(0.0)), n)
+
+
+def centred_px(df: DataFrame, params: DataFrame, keys: list[str], x: str, y: str, flip_y: float = -1.0) -> DataFrame:
+    """Adds cx_px, cy_px: from the centre of the series' calibrated rectangle (params: left, top, right, bottom), y times flip_y."""
+    df = df.join(params.select(*keys, "left", "top", "right", "bottom"), keys, "left")
+    cx, cy = (F.col("left") + F.col("right")) / 2, (F.col("top") + F.col("bottom")) / 2
+    return df.withColumn("cx_px", F.col(x) - cx).withColumn("cy_px", (F.col(y) - cy) * flip_y).drop("left", "top", "right", "bottom")
+
+
+#: Event types and eye codes of a tracker's log.
+EVENT_LABELS = {"saccade": "SACC", "fixation": "FIXA", "blink": "BLNK"}
+EYES = {0: "L", 1: "R"}
+
+
+def clean_events(df: DataFrame, *, unit_s: float = 1e-3, eyes: tuple[str, ...] = ("L", "R")) -> DataFrame:
+    """type, start, end, eye of a tracker to label, stsec, ensec, dursec, eye; other types in upper case, other eyes go."""
+    table = lambda m, c: F.coalesce(F.create_map(*(F.lit(x) for kv in m.items() for x in kv))[c], F.lit(None))
+    label = F.coalesce(table(EVENT_LABELS, F.lower("type")), F.upper("type"))
+    df = df.withColumn("label", label).withColumn("eye", table(EYES, F.col("eye"))).where(F.col("eye").isin(*eyes))
+    return df.withColumn("stsec", F.col("start") * unit_s).withColumn("ensec", F.col("end") * unit_s).withColumn("dursec", F.col("ensec") - F.col("stsec")).drop("type", "start", "end")
+
+
+def single_gaps_filled(value: str, axis: Axis = SERIES) -> Column:
+    """A missing value between two known ones becomes their mean in steps (half-way); longer gaps stay."""
+    v = F.col(value)
+    return F.coalesce(v, (F.lag(value).over(axis.w) + F.lead(value).over(axis.w)) / 2)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -145,13 +146,15 @@ class EventParams:
     margin: float = 0.0
 
 
-def samples_to_events(df: DataFrame, x: str, y: str, p: EventParams, axis: Axis = SERIES) -> DataFrame:
-    """Votes of two native detectors, their consensus, saccade-like events over a least amplitude, blinks, envelopes around blinks, and the
+def samples_to_events(df: DataFrame, x: str, y: str, p: EventParams, axis: Axis = SERIES, *, velocity: Callable[..., DataFrame] = velocities, more_votes: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> DataFrame:
+    """Votes of two native detectors and of more_votes (each adds a boolean column of its name; velocity adds xvel, yvel, vel), their consensus, saccade-like events over a least amplitude, blinks, envelopes around blinks, and the
     gaps between: label, stsec, ensec, dursec. Every step is a window over one partitioning of the samples."""
-    df = velocities(df, x, y, p.dt, p.half, axis)
+    df = velocity(df, x, y, p.dt, p.half, axis)
     df = ek_votes(df, p.ek_factor, p.ek_least, axis)
     df = nh_votes(df, p.nh_start, p.nh_factor, 6, axis)
-    df = consensus(df, ["ek", "nh"], p.gap, p.least, axis)
+    for vote in (more_votes or {}).values():
+        df = vote(df)
+    df = consensus(df, ["ek", "nh", *(more_votes or {})], p.gap, p.least, axis)
     sacc = events_of(df, "sacc", x, y, F.lit("SACC"), axis).where(F.col("ampldva") > p.min_amplitude)
     blink = blink_events(df.withColumn("_bad", F.col(x).isNull()), "_bad", x, y, axis)
     both = sacc.select(*axis.keys, "label", "stsec", "ensec", "pvel", "avgvel").unionByName(blink.select(*axis.keys, "label", "stsec", "ensec"), allowMissingColumns=True)

@@ -89,3 +89,32 @@ def adaptive_threshold(df: DataFrame, value: str, start: float, c: float, rounds
         onset = F.when(F.col("done"), F.col("onset")).otherwise(onset)
         df = df.select(*axis.keys, "_v", new.alias("thr"), (F.col("done") | (F.abs(new - F.col("thr")) <= 1)).alias("done"), onset.alias("onset"))
     return df.groupBy(*axis.keys).agg(F.first("thr").alias("threshold"), F.first("onset").alias("onset"))
+
+
+def null_insane(df: DataFrame, columns: list[str], speed: str, acceleration: str, most_speed: float, most_acceleration: float, k: int, axis: Axis = SERIES) -> DataFrame:
+    """Columns become null where speed or acceleration is at or over its limit, or any of the columns is missing, and k samples around."""
+    from gazeflow.operators.runs import null_dilated
+
+    wild = F.coalesce((F.col(speed) >= most_speed) | (F.abs(F.col(acceleration)) >= most_acceleration), F.lit(False))
+    df = df.select(*(F.when(~wild, F.col(c)).alias(c) if c in columns else F.col(c) for c in df.columns))
+    return null_dilated(df, columns, k, axis)
+
+
+def pearson_from_start(a: DataFrame, b: DataFrame, keys: list[str], value: str, order: list[str]) -> DataFrame:
+    """Per key: r over the pairs of n-th values where both are known, n_good, n (of the shorter one). An equi-join on (keys, place)."""
+    from pyspark.sql import Window as W
+
+    place = lambda df, name: df.select(*keys, F.row_number().over(W.partitionBy(*keys).orderBy(*order)).alias("_n"), F.col(value).alias(name))
+    both = place(a, "_a").join(place(b, "_b"), [*keys, "_n"])
+    good = F.col("_a").isNotNull() & F.col("_b").isNotNull()
+    return both.groupBy(*keys).agg(F.corr(F.when(good, F.col("_a")), F.when(good, F.col("_b"))).alias("r"), F.count_if(good).alias("n_good"), F.count(F.lit(1)).alias("n"))
+
+
+def samples_of(seconds: float, rate: float) -> int:
+    """Samples of a duration, cut to a whole number; of an odd filter window see odd_samples()."""
+    return int(seconds * rate)
+
+
+def odd_samples(seconds: float, rate: float, least: int = 3) -> int:
+    n = max(least, int(seconds * rate))
+    return n if n % 2 else n + 1

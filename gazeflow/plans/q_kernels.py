@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gazeflow.operators import detect, kernels, messages, timing
+from gazeflow import expectations
+from gazeflow.operators import cleaning, detect, kernels, kinematics, messages, timing
 from gazeflow.series import SERIES, Axis
 
 from .common import D, W, r6, rounded, samples
@@ -110,3 +111,49 @@ def ahrs_euler(spark, d):
     a = kernels.attitude(s, SERIES)
     return a.select("series", "pos", *(F.round(F.nanvl(c, F.lit(None).cast("double")), 4).alias(c) for c in ("roll", "pitch", "yaw")))
 
+
+
+@query("single_gap_fill", f"WITH {D} SELECT event_id, round(coalesce(x, (lag(x) OVER {W} + lead(x) OVER {W}) / 2) + 1e-9, 4) AS x FROM D")
+def single_gap_fill(spark, d):
+    return samples(spark, d).select("event_id", F.round(cleaning.single_gaps_filled("x") + 1e-9, 4).alias("x"))
+
+
+@query("row_mean", f"WITH {D} SELECT event_id, round((coalesce(x, 0) + coalesce(y, 0) + v) / (1 + (x IS NOT NULL)::INT + (y IS NOT NULL)::INT), 6) AS m FROM D")
+def row_mean(spark, d):
+    return samples(spark, d).select("event_id", r6(cleaning.row_mean("x", "y", "v")).alias("m"))
+
+
+@query("centred_px", f"WITH {D} SELECT event_id, round(v - (series % 7 + 100) / 2.0, 6) AS cx_px, round(-(k - (series % 5 + 50) / 2.0), 6) AS cy_px FROM D")
+def centred_px(spark, d):
+    s = samples(spark, d)
+    p = s.select("series").distinct().select("series", (F.col("series") % 7).alias("left"), F.lit(100).alias("right"), (F.col("series") % 5).alias("top"), F.lit(50).alias("bottom"))
+    return rounded(cleaning.centred_px(s, p, ["series"], "v", "k").select("event_id", "cx_px", "cy_px"), "cx_px", "cy_px")
+
+
+@query("clean_events", "SELECT event_id, CASE event_type WHEN 'click' THEN 'SACC' WHEN 'view' THEN 'FIXA' WHEN 'error' THEN 'BLNK' ELSE upper(event_type) END AS label, CASE user_id % 3 WHEN 0 THEN 'L' ELSE 'R' END AS eye, round(value / 1000, 6) AS stsec, round((value * 2 + 1) / 1000, 6) AS ensec, round((value * 2 + 1) / 1000 - value / 1000, 6) AS dursec FROM events WHERE user_id % 3 < 2")
+def clean_events(spark, d):
+    s = samples(spark, d)
+    kind = F.when(F.col("lab") == "click", "saccade").when(F.col("lab") == "view", "fixation").when(F.col("lab") == "error", "blink").otherwise(F.col("lab"))
+    e = s.select("event_id", kind.alias("type"), F.col("v").alias("start"), (F.col("v") * 2 + 1).alias("end"), (F.col("series") % 3).cast("int").alias("eye"))
+    return rounded(cleaning.clean_events(e).select("event_id", "label", "eye", "stsec", "ensec", "dursec"), "stsec", "ensec", "dursec")
+
+
+@query("insane_values", f"WITH {D}, A AS (SELECT *, sqrt(pow(x - lag(x) OVER {W}, 2)) AS sp FROM D), B AS (SELECT *, sp - lag(sp) OVER {W} AS ac FROM A), C AS (SELECT *, coalesce(sp >= 80 OR abs(ac) >= 100, false) AS wild FROM B), E AS (SELECT *, CASE WHEN NOT wild THEN x END AS x2, CASE WHEN NOT wild THEN y END AS y2 FROM C), M AS (SELECT *, max(x2 IS NULL OR y2 IS NULL) OVER (PARTITION BY series ORDER BY t, pos ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS m FROM E) SELECT event_id, CASE WHEN NOT m THEN x2 END AS x, CASE WHEN NOT m THEN y2 END AS y FROM M")
+def insane_values(spark, d):
+    w = timing.SERIES.w
+    s = samples(spark, d).withColumn("sp", F.abs(F.col("x") - F.lag("x").over(w)))
+    s = s.withColumn("ac", F.col("sp") - F.lag("sp").over(w))
+    return kinematics.null_insane(s, ["x", "y"], "sp", "ac", 80.0, 100.0, 1).select("event_id", "x", "y")
+
+
+@query("pearson_from_start", f"WITH {D}, A AS (SELECT series // 2 AS pair, pos, x FROM D WHERE series % 2 = 0), B AS (SELECT series // 2 AS pair, pos, x FROM D WHERE series % 2 = 1) SELECT pair, round(corr(A.x, B.x), 4) AS r, count(*) FILTER (WHERE A.x IS NOT NULL AND B.x IS NOT NULL) AS n_good, count(*) AS n FROM A JOIN B USING (pair, pos) GROUP BY pair")
+def pearson_from_start(spark, d):
+    s = samples(spark, d).withColumn("pair", F.expr("series div 2"))
+    out = kinematics.pearson_from_start(s.where("series % 2 = 0"), s.where("series % 2 = 1"), ["pair"], "x", ["t", "pos"])
+    return out.withColumn("r", F.round("r", 4))
+
+
+@query("checked_series", f"WITH {D} SELECT event_id, pos FROM D")
+def checked_series(spark, d):
+    s = expectations.without_column(samples(spark, d), "checked")
+    return expectations.times_unique(expectations.times_known(s)).select("event_id", "pos")

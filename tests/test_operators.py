@@ -131,3 +131,28 @@ def test_online_runs(spark, tmp_path):
     q.stop()
     base = 1704067200.0
     assert sorted((r.stsec - base, r.ensec - base, r.n, r.peak) for r in spark.table("online").collect()) == [(1.0, 2.0, 2, 6.0), (4.0, 4.0, 1, 7.0)]
+
+
+def test_expectations(spark):
+    from pyspark.errors import PySparkException
+
+    from gazeflow import expectations
+
+    good = series(spark, [1.0, 2.0, 3.0])
+    assert expectations.regular(expectations.times_unique(good)).count() == 3
+    uneven = spark.createDataFrame([("a", 0.0, 0), ("a", 1.0, 1), ("a", 5.0, 2), ("a", 6.0, 3)], "series string, t double, pos long")
+    double = spark.createDataFrame([("a", 0.0, 0), ("a", 0.0, 1)], "series string, t double, pos long")
+    for check, df in ((expectations.regular, uneven), (expectations.times_unique, double), (expectations.times_known, spark.createDataFrame([("a", None, 0)], "series string, t double, pos long"))):
+        with pytest.raises(PySparkException):
+            check(df).collect()
+    eyes = spark.createDataFrame([("a", "L", 0.0), ("a", "R", 0.0), ("a", "L", 1.0)], "series string, eye string, t double")
+    with pytest.raises(PySparkException):
+        expectations.eyes_alike(eyes, ["series"], "t").collect()
+    assert (kinematics.samples_of(0.0125, 1000), kinematics.odd_samples(0.024, 1000), kinematics.odd_samples(0.001, 500)) == (12, 25, 3)
+
+
+def test_a_voter_and_a_velocity_of_ones_own(spark):
+    df = series(spark, [0.0] * 20 + [10.0] * 20).withColumn("y", F.lit(0.0))
+    own = lambda d: d.withColumn("own", F.col("t").between(19.0, 22.0))
+    p = detect.EventParams(dt=1.0, half=1, nh_start=3.0, nh_factor=1.0, gap=1, least=1)
+    assert detect.samples_to_events(df, "x", "y", p, velocity=detect.velocities, more_votes={"own": own}).where("label = 'SACC'").count() >= 0
