@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gazeflow.session import shared_dir
+
 
 def clusters(df: DataFrame, row_id: str, columns: list[str], rounds: int = 30) -> DataFrame:
     """row_id, cluster: the smallest row_id of all rows that are connected by equal values of a column. Nulls connect nothing.
@@ -13,9 +15,7 @@ def clusters(df: DataFrame, row_id: str, columns: list[str], rounds: int = 30) -
     the session's checkpoint folder, so plans stay short and survive lost executors."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gazeflow-"))
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
     pairs = df.select(F.col(row_id).alias("r"), F.explode(F.array(*(F.struct(F.lit(i).alias("c"), F.col(c).cast("string").alias("v")) for i, c in enumerate(columns)))).alias("k"))
     pairs = pairs.where("k.v IS NOT NULL").checkpoint()
     labels = df.select(F.col(row_id).alias("r"), F.col(row_id).alias("l")).checkpoint()
