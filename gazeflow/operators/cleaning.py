@@ -107,7 +107,7 @@ def chunked(df: DataFrame, width: float, per_page: int, axis: Axis = SERIES) ->
 
 def spike_filter(df: DataFrame, value: str, name: str, axis: Axis = SERIES) -> DataFrame:
     """Local extremes become the nearer neighbour (equally near: the next), each judged against the already filtered one before. The order
-    makes this a fold over the series' array; the rows come back by exploding it."""
+    makes this a fold over the series' array, whose cost grows with the square of its length; kernels.spike_filter() is for long series."""
     rows = df.withColumn("_i", F.row_number().over(axis.w)).groupBy(*axis.keys).agg(F.sort_array(F.collect_list(F.struct("_i", F.col(value).alias("v"), F.struct(*df.columns).alias("row")))).alias("_a"))
     fold = F.expr("""aggregate(sequence(1, size(_a)), cast(array() AS array<double>), (done, i) -> concat(done, array(
       CASE WHEN i = 1 OR i = size(_a) OR _a[i - 1].v IS NULL OR _a[least(i, size(_a) - 1)].v IS NULL OR done[i - 2] IS NULL THEN _a[i - 1].v

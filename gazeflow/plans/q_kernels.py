@@ -9,6 +9,7 @@ from gazeflow.operators import cleaning, detect, kernels, kinematics, messages,
 from gazeflow.series import SERIES, Axis
 
 from .common import D, W, r6, rounded, samples
+from .q_series import SQL as SERIES_SQL
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -157,3 +158,8 @@ def pearson_from_start(spark, d):
 def checked_series(spark, d):
     s = expectations.without_column(samples(spark, d), "checked")
     return expectations.times_unique(expectations.times_known(s)).select("event_id", "pos")
+
+
+@query("spike_filter_kernel", SERIES_SQL["spike_filter_fold"])
+def spike_filter_kernel(spark, d):
+    return kernels.spike_filter(samples(spark, d).select("series", "t", "pos", "v"), SERIES, "v", "x").select("series", "pos", "x")
