@@ -137,6 +137,8 @@ def forest(sigs: np.ndarray, max_diff: int, least_bytes: int) -> np.ndarray:
         if len(near):
             near = near[(sigs[near + i + 1] == sigs[i]).sum(axis=1) >= least_bytes]
             link_rows(i, near + i + 1)
+            if (label == label[0]).all():
+                break  # one tree: further links change nothing
     return label
 
 
