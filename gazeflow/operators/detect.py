@@ -159,9 +159,13 @@ def samples_to_events(df: DataFrame, x: str, y: str, p: EventParams, axis: Axis
     blink = blink_events(df.withColumn("_bad", F.col(x).isNull()), "_bad", x, y, axis)
     both = sacc.select(*axis.keys, "label", "stsec", "ensec", "pvel", "avgvel").unionByName(blink.select(*axis.keys, "label", "stsec", "ensec"), allowMissingColumns=True)
     merged = intervals.merge_envelope(both, list(axis.keys), p.margin, F.col("label") == "BLNK")
-    merged = merged.withColumn("dursec", F.col("ensec") - F.col("stsec")).select(*axis.keys, "label", "stsec", "ensec", "dursec")
-    gaps = intervals.complement(merged, list(axis.keys)).select(*merged.columns)
-    return merged.unionByName(gaps)
+    # As intervals.complement(), but in one pass: each event brings the gap before it along.
+    w = W.partitionBy(*axis.keys).orderBy("stsec", "ensec")
+    before = F.coalesce(F.lag("ensec").over(w), F.lit(0.0))
+    merged = merged.withColumn("_before", before).withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(*axis.keys)))
+    row = lambda label, st, en: F.struct(label.alias("label"), st.alias("stsec"), en.alias("ensec"), (en - st).alias("dursec"))
+    own, gap = row(F.col("label"), F.col("stsec"), F.col("ensec")), row(F.lit("ISI"), F.col("_before"), F.col("stsec"))
+    return merged.select(*axis.keys, F.explode(F.when(F.col("_n") > 1, F.array(own, gap)).otherwise(F.array(own))).alias("_e")).select(*axis.keys, "_e.*")
 
 
 def between_peaks(df: DataFrame, acc: str, high: float, low: float, longest: float, axis: Axis = SERIES) -> DataFrame:
