@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gazeflow.llm import jaccard
 from gazeflow.llm.common import shared_path, table
 from gazeflow.llm.line_dedup import deduplicated
 from gazeflow.llm.mixing import mix
@@ -28,8 +29,9 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that are alike (five-word shingles, similarity 0.8 or more) the one with the smallest doc_id stays."""
-    return one_of_each(docs, shingle=5, similarity=0.8)
+    """Of documents that are alike (five-word shingles, Jaccard similarity 0.8 or more, chains joined) the one with the smallest
+    doc_id stays."""
+    return one_of_each(docs, find=jaccard.near_duplicates, shingle=5, similarity=0.8)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

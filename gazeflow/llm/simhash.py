@@ -13,7 +13,7 @@ one node, nearly all, end after counting. Components: see components.py. Only id
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 from math import acos, pi
 
@@ -34,23 +34,29 @@ def fingerprint(text: str | None, shingle: int = 3, words64: int = 1) -> bytes:
     """The fingerprint of a whole text, 8 * words64 bytes, most significant first. A-Z are lower-cased. No words: zeros; fewer
     words than a shingle has: their whole sequence is the shingle. Word k > 0 of a long fingerprint comes from the hashes
     with seed 42 + k."""
+    counts, n = np.zeros((words64, 64), np.int64), 0
+    for h in hash_blocks(text, shingle):
+        n += len(h)
+        for k in range(words64):
+            counts[k] += _bit_counts(_mixed(h, k) if k else h)
+    return np.packbits(2 * counts > n, axis=1).tobytes()
+
+
+def hash_blocks(text: str | None, shingle: int) -> Iterator[np.ndarray]:
+    """The hashes of a text's shingles in order, BLOCK at a time."""
     from xxhash import xxh64_intdigest
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return bytes(8 * words64)
+        return
     joined = b" ".join(words)
     size = min(shingle, len(words))
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - size + 1].tolist()
     ends = ends[size - 1 :].tolist()
-    counts = np.zeros((words64, 64), np.int64)
     for at in range(0, len(starts), BLOCK):
         pieces = [joined[a:b] for a, b in zip(starts[at : at + BLOCK], ends[at : at + BLOCK], strict=True)]
-        h = np.array([xxh64_intdigest(p, SEED) for p in pieces], np.uint64)
-        for k in range(words64):
-            counts[k] += _bit_counts(_mixed(h, k) if k else h)
-    return np.packbits(2 * counts > len(starts), axis=1).tobytes()
+        yield np.array([xxh64_intdigest(p, SEED) for p in pieces], np.uint64)
 
 
 _LANES = np.uint64(0x0101010101010101)
@@ -192,10 +198,10 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, words64: int = 32, max
     return sigs.join(placed, F.col("sig") == F.col("s")).select("doc_id", "text_hash", "sig", F.col("first.doc_id").alias("component_id"), "node", "first")
 
 
-def one_of_each(docs: DataFrame, **how) -> DataFrame:
-    """The columns of docs, of each group of near_duplicates() only the first document: smallest doc_id (null ids last), then
-    the text's hash; of rows that are equal in both, one."""
-    found = near_duplicates(docs, **how)
+def one_of_each(docs: DataFrame, find: Callable[..., DataFrame] = near_duplicates, **how) -> DataFrame:
+    """The columns of docs, of each group of find() only the first document: smallest doc_id (null ids last), then the text's
+    hash; of rows that are equal in both, one."""
+    found = find(docs, **how)
     own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
     stays = written(found.where(own.eqNullSafe(F.col("first"))).groupBy(F.col("doc_id").alias("i"), F.col("text_hash").alias("h")).agg(F.count(F.lit(1)).alias("times")), "simhash-stay")
     rows, names = packed(docs, doc_id="doc_id:long", text="text:string")

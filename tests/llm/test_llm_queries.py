@@ -285,3 +285,48 @@ def test_pipeline_stages(spark):
     assert len(set(texts)) == len(texts) and kept
     packed = corpus_pipeline.STAGES[4][1](spark, docs, d).toPandas()
     assert packed.groupby("sequence_id").length.sum().max() <= 1024 and set(packed.doc_id) == {r.doc_id for r in docs.collect()}
+
+
+def test_pipeline_near_duplicates(spark):
+    """The near-duplicate stage against true Jaccard of all pairs: pairs at 0.76 to 0.86, a chain, many near copies of one text, short
+    and empty texts."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(11)
+    new = lambda n: [f"v{i}" for i in rng.integers(0, 1 << 40, n)]
+    texts = []
+    for n in (24, 104, 504):
+        for k in range(30):
+            base = new(n)
+            s, target = n - 4, 0.76 + 0.1 * k / 29
+            shared = round(2 * s * target / (1 + target))
+            texts += [base, base[: shared + 4] + new(s - shared)]
+    hub = new(100)
+    texts += [hub[k:] + new(k) for k in range(0, 40, 4)]
+    for _ in range(60):
+        c = list(hub)
+        c[rng.integers(0, 100)] = "changed"
+        texts.append(c)
+    texts += [["short", "one"], ["SHORT", "one"], ["short", "two"], [], []]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1 if w else 0))} for w in ([x.lower() for x in t] for t in texts)]
+    label = list(range(len(sets)))
+
+    def top(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    close = 0
+    for i, a in enumerate(sets):
+        for j in range(i):
+            either = len(a | sets[j])
+            j_ij = len(a & sets[j]) / either if either else 1
+            close += 0.8 <= j_ij <= 0.85
+            if j_ij >= 0.8:
+                x, y = sorted((top(i), top(j)))
+                label[y] = x
+    assert close > 30
+    docs = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, source string")
+    got = {r.doc_id for r in corpus_pipeline.simhash_stage(spark, docs, "").collect()}
+    assert got == {i for i in range(len(rows)) if top(i) == i}
