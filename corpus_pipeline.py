@@ -1,4 +1,4 @@
-"""A corpus pipeline: toxic documents go, repeated chunks of lines go, one document of each near-duplicate group stays, sources are
+"""A corpus pipeline: toxic documents go, repeated blocks of lines go, one document of each near-duplicate group stays, sources are
 mixed to target weights, and what is left is packed into token sequences."""
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated multi-line chunks go but for their first places; documents of which nothing is left go."""
+    """Repeated blocks of two lines or more go but for their first places; documents of which nothing is left go."""
     return deduplicated(docs)
 
 

@@ -90,10 +90,35 @@ def line_dedup(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     return out, names
 
 
+def repeated_lines(docs: DataFrame) -> DataFrame:
+    """doc, gone: of each document that loses lines, their places. docs: doc_id, text, doc.
+
+    A pair is two adjacent lines, known by 128 bits of hash. Of a pair that occurs more than once all but the first place lose both
+    lines, except lines that also belong to the first place of another such pair."""
+    pairs = _bind(_LINES, "l", "transform(slice(l, 1, size(l) - 1), (x, i) -> struct(i AS at, xxhash64(x, l[i + 1]) AS h, xxhash64(l[i + 1], 1L, x) AS g))")
+    each = docs.where("text IS NOT NULL AND instr(text, '\\n') > 0").select("doc", F.explode(F.expr(pairs)).alias("p")).select("doc", "p.at", "p.h", "p.g")
+    each = written(each.distinct(), "line-pairs")
+    again = written(each.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("h").alias("again")), "line-pairs-again")
+    some = each.join(maybe_broadcast(again, again.count()), F.col("h") == F.col("again"), "left_semi")
+    first = some.groupBy("h", "g").agg(F.min(F.struct("doc", "at")).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("h").alias("h1"), F.col("g").alias("g1"), "first")
+    first = written(first, "line-pairs-first")
+    marked = some.join(maybe_broadcast(first, first.count()), (F.col("h") == F.col("h1")) & (F.col("g") == F.col("g1")))
+    marked = marked.select("doc", "at", F.struct("doc", "at").eqNullSafe(F.col("first")).alias("stays"))
+    out = marked.groupBy("doc").agg(*(F.collect_list(F.when(F.col("stays") == x, F.col("at"))).alias(k) for k, x in (("again", False), ("held", True)))).where("size(again) > 0")
+    both = "concat({0}, transform({0}, x -> x + 1))"
+    return out.select("doc", F.expr(f"array_except({both.format('again')}, {both.format('held')})").alias("gone")).where("size(gone) > 0")
+
+
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The columns of docs with the kept text; documents that lose all their chunks go."""
-    out, names = line_dedup(docs)
-    out = out.where("n_removed_chunks = 0 OR n_removed_chunks < n_chunks")
+    """The columns of docs without repeated blocks of two lines or more (see repeated_lines()), wherever these begin and end;
+    documents that lose all their lines go. Places are compared as in line_dedup(), and rows are treated as there."""
+    rows, names = packed(docs, doc_id="doc_id:long", text="text:string")
+    gone = written(repeated_lines(_keyed(plain(docs, doc_id="doc_id:long", text="text:string"))), "line-gone")
+    gone = maybe_broadcast(gone, gone.count()).withColumnRenamed("doc", "lost")
+    out = _keyed(rows).join(gone, F.col("doc").eqNullSafe(F.col("lost")), "left")
+    left = _bind(_LINES, "l", "transform(array_except(sequence(0, size(l) - 1), gone), i -> l[i])")
+    out = out.withColumn("left", F.expr(f"CASE WHEN gone IS NOT NULL THEN {left} END")).where("left IS NULL OR size(left) > 0")
+    out = out.withColumn("kept_text", F.expr("CASE WHEN left IS NULL THEN text ELSE array_join(left, '\\n') END"))
     return unpacked(out, names, {"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("long")})
 
 

@@ -330,3 +330,36 @@ def test_pipeline_near_duplicates(spark):
     docs = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, source string")
     got = {r.doc_id for r in corpus_pipeline.simhash_stage(spark, docs, "").collect()}
     assert got == {i for i in range(len(rows)) if top(i) == i}
+
+
+def _without_repeats(texts):
+    """Lines left of each text, by brute force: a repeated pair of adjacent lines stays where it is first."""
+    at = {}
+    for i, t in enumerate(texts):
+        for k in range(len(t) - 1):
+            at.setdefault((t[k], t[k + 1]), []).append((i, k))
+    held = {(i, k + d) for p in at.values() if len(p) > 1 for i, k in p[:1] for d in (0, 1)}
+    gone = {(i, k + d) for p in at.values() for i, k in p[1:] for d in (0, 1)} - held
+    return [[x for k, x in enumerate(t) if (i, k) not in gone] for i, t in enumerate(texts)]
+
+
+def _line_stage(spark, texts):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(i, "\n".join(t), "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    return {r.doc_id: r.text for r in corpus_pipeline.line_dedup_stage(spark, docs, "").collect()}
+
+
+def test_pipeline_short_blocks(spark):
+    """Blocks of 2 to 15 lines in random documents lose all their lines in the second one."""
+    rng = np.random.default_rng(5)
+    new = lambda n: [f"line {i}" for i in rng.integers(0, 1 << 40, n)]
+    texts, own = [], []
+    for n in (2, 3, 5, 6, 8, 15):
+        for _ in range(20):
+            block, a, b = new(n), new(9), new(9)
+            texts += [a[:4] + block + a[4:], b[:6] + block + b[6:]]
+            own += [texts[-2], b]
+    got = _line_stage(spark, texts)
+    assert [got[i] for i in range(len(texts))] == ["\n".join(t) for t in own]
+    assert _without_repeats(texts) == own
