@@ -363,3 +363,11 @@ def test_pipeline_short_blocks(spark):
     got = _line_stage(spark, texts)
     assert [got[i] for i in range(len(texts))] == ["\n".join(t) for t in own]
     assert _without_repeats(texts) == own
+
+
+def test_pipeline_runs_of_equal_lines(spark):
+    """Runs of one line or of a period of lines, of any length, go but for the first place of each pair of adjacent lines."""
+    texts = [["top"] + ["same"] * 8 + ["end"], ["same"] * 1000, ["x", "same", "same", "same", "y"], ["a", "b"] * 40, ["c", "a", "b", "a", "d"], ["lone"], ["lone"]]
+    want = {i: "\n".join(t) for i, t in enumerate(_without_repeats(texts)) if t}
+    assert _line_stage(spark, texts) == want
+    assert want[0] == "top\nsame\nsame\nend" and 1 not in want and want[2] == "x\ny"
