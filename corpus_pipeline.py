@@ -54,7 +54,8 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: Toxicity, SimHash and packing have no SQL form; tests hold each stage against a brute-force version.
+#: Toxicity, near-duplicates and packing have no SQL form. Tests hold the line and near-duplicate stages against brute force, of the
+#: others only columns, falling counts and sequence sizes.
 ORACLE_SQL = None
 
 
