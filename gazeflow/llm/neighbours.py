@@ -10,9 +10,10 @@ standard deviations below the expected count at that radius, so a true neighbour
 
 Largest inner products become nearest distances by one more coordinate, sqrt(M^2 - |x|^2), with M the largest norm of all.
 
-Scale: vectors are dealt once, by hash, to shards of about shard_rows. The stated queries meet every shard; behind a shard's rows,
-sorted, they stream through the task that has built its arrays, so a task holds one shard and one batch of queries, however
-many there are. A shard gives k rows per query, and a query's lists merge by a ranking that Spark cuts before the shuffle.
+Scale: vectors are dealt by hash to shards of about shard_rows. The stated queries meet every shard; behind a shard's rows,
+sorted, they stream through the task that has built its arrays, so a task holds one shard and one batch of queries. Only from
+block_rows queries on is a shard built again for the next block of them, so that tasks stay short; building is then under a
+hundredth of a task. A shard gives k rows per query, and a query's lists merge by a ranking that Spark cuts before the shuffle.
 """
 
 from __future__ import annotations
@@ -27,7 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import plain, table, written
 
-SHARD_ROWS = 60_000
+SHARD_ROWS = 20_000
+BLOCK_ROWS = 30_000
 PROJECTIONS = 128
 Z = 1.5
 #: The growth of the radius from round to round. The first one is the median distance of so many of a shard's vectors, evenly
@@ -129,7 +131,7 @@ def _matrix(lists: pa.ListArray, dim: int) -> np.ndarray:
     return x
 
 
-def nearest(vectors: DataFrame, *, every: int = 20, k: int = 20, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def nearest(vectors: DataFrame, *, every: int = 20, k: int = 20, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: of each vector whose vec_id is divisible by every, the k others with the largest inner
     products found, ties to the smaller vec_id. vectors: vec_id, embedding.
 
@@ -142,17 +144,18 @@ def nearest(vectors: DataFrame, *, every: int = 20, k: int = 20, shard_rows: int
     n, dim, most, nq = v.agg(F.count(F.lit(1)), F.max(F.size("e")), F.max(F.sqrt(F.aggregate("e", F.lit(0.0), lambda a, x: a + x * x))), F.count(F.when(F.col("vec_id") % every == 0, 1))).first()
     if not nq:
         return v.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    shards, most = -(-n // shard_rows), float(most) * (1 + 1e-12)
-    shard = F.pmod(F.xxhash64("vec_id", F.lit(shards)), F.lit(shards))
-    data = v.select(shard.alias("shard"), F.lit(False).alias("is_query"), "vec_id", "e")
+    shards, blocks, most = -(-n // shard_rows), -(-nq // block_rows), float(most) * (1 + 1e-12)
+    own = lambda n: F.pmod(F.xxhash64("vec_id", F.lit(n)), F.lit(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    data = v.select(own(shards).alias("shard"), each(blocks).alias("block"), F.lit(False).alias("is_query"), "vec_id", "e")
     asked = v.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("e").alias("e"))
-    asked = asked.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.lit(True).alias("is_query"), "vec_id", "e")
+    asked = asked.select(each(shards).alias("shard"), own(blocks).alias("block"), F.lit(True).alias("is_query"), "vec_id", "e")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come by shard, its vectors before the queries."""
+        """Rows come by part, a shard's vectors before the queries."""
         at, gathered, index, ids = None, [], None, None
         for b in batches:
-            numbers, kinds = b.column("shard").to_numpy(), b.column("is_query").to_numpy(zero_copy_only=False)
+            numbers, kinds = b.column("part").to_numpy(), b.column("is_query").to_numpy(zero_copy_only=False)
             edges = np.flatnonzero((numbers[1:] != numbers[:-1]) | (kinds[1:] != kinds[:-1])) + 1
             for a, e in zip([0, *edges.tolist()], [*edges.tolist(), b.num_rows], strict=True):
                 if a == e:
@@ -179,7 +182,8 @@ def nearest(vectors: DataFrame, *, every: int = 20, k: int = 20, shard_rows: int
                 cat = [np.concatenate([np.empty(0, t), *c]) for c, t in zip(out, (np.int64, np.int64, float), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(cat[0], pa.int64()), pa.array(cat[1], pa.int64()), pa.array(cat[2], pa.float64())], ["query_id", "vec_id", "score"])
 
-    dealt = data.unionByName(asked).repartition(int(shards), "shard").sortWithinPartitions("shard", "is_query")
+    part = (F.col("shard") * blocks + F.col("block")).alias("part")
+    dealt = data.unionByName(asked).select(part, "is_query", "vec_id", "e").repartition(int(shards * blocks), "part").sortWithinPartitions("part", "is_query")
     found = dealt.mapInArrow(meet, "query_id long, vec_id long, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -13,7 +13,7 @@ from conftest import same_rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from gazeflow.llm import lattice_lm, packing, queries, simhash, substring_dedup, toxicity
+from gazeflow.llm import lattice_lm, neighbours, packing, queries, simhash, substring_dedup, toxicity
 
 
 @pytest.fixture(scope="module")
@@ -206,9 +206,14 @@ def test_lattice_is_the_sum_over_segmentations():
     assert math.isclose(counts[lattice.stop], len(words)) and counts[:-1].sum() >= len(words)
 
 
-def test_op8_recall(spark):
+@pytest.mark.parametrize("blocks", [False, True])
+def test_op8_recall(spark, blocks):
     sf = "/root/testdata/sf0.1"
-    got = queries.QUERIES["op8_neighbours"](spark, sf).toPandas()
+    if blocks:  # several shards and blocks of queries in a partition
+        got = neighbours.nearest(spark.read.parquet(f"{sf}/embeddings.parquet"), shard_rows=300, block_rows=30).toPandas()
+    else:
+        got = queries.QUERIES["op8_neighbours"](spark, sf).toPandas()
+        assert got.groupby("query_id").size().eq(20).all() and got.query_id.nunique() == 100
     e = spark.read.parquet(f"{sf}/embeddings.parquet").toPandas().sort_values("vec_id")
     x, ids = np.stack(e.embedding).astype(float), e.vec_id.to_numpy()
     hit = total = 0
@@ -371,3 +376,31 @@ def test_pipeline_runs_of_equal_lines(spark):
     want = {i: "\n".join(t) for i, t in enumerate(_without_repeats(texts)) if t}
     assert _line_stage(spark, texts) == want
     assert want[0] == "top\nsame\nsame\nend" and 1 not in want and want[2] == "x\ny"
+
+
+def test_windows_verify_less_than_everything():
+    """Searches of one shard: most neighbours are found and most vectors left unverified, also where windows have to widen."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((6000, 32))
+    x[::3] = x[rng.integers(0, 100, 2000)] + 0.2 * rng.standard_normal((2000, 32))
+    shard = neighbours.Shard(x, float(np.linalg.norm(x, axis=1).max()), 10)
+    hit = verified = 0
+    for i in range(60):
+        rows, scores, n = shard.search(x[i], 10, np.array([i]))
+        s = x @ x[i]
+        s[i] = -np.inf
+        hit += len({*np.argsort(-s)[:10].tolist()} & {*rows[np.argsort(-scores)[:10]].tolist()})
+        verified += n
+    assert hit >= 0.9 * 600 and verified < 0.5 * 60 * len(x)
+
+
+def test_op4_very_long_runs(spark):
+    """Texts of one class of characters, millions long, through the operator's own path."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    texts = [" " * 2_000_000, "\n" * 2_000_000, "a" * 2_000_000, "😀" * 300_000, ("ab " + " " * 5000) * 50]
+    rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), tokenizer=path).groupBy("doc_id").sum("length").collect()
+    assert {i: n for i, n in rows} == {i: len(t.encode(x, add_special_tokens=False).ids) + 1 for i, x in enumerate(texts)}
