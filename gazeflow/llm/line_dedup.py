@@ -3,7 +3,7 @@
 Every line has a hash; a rolling hash joins those of a line and the two before it. A chunk ends after a line whose rolling
 hash is a local minimum, so boundaries depend on nearby lines only and come back soon after an insertion. Each chunk has two
 lines at least. A chunk whose bytes occur more than once in all documents stays at its first place and goes elsewhere.
-Everything is DataFrame code.
+Everything is DataFrame code. deduplicated() is the form for pipelines, which may not miss short blocks: a boundary at every line.
 
 Scale: chunk hashes (8 bytes a chunk) are counted first; only chunks whose hash repeats send their text, and equal texts
 combine before the shuffle, so that a chunk on a third of all documents sends one row per task. Sides are broadcast only up to
@@ -27,6 +27,10 @@ _ENDS = """filter(sequence(0, size(r) - 1), i -> i = size(r) - 1 OR
   (i >= 1 AND i <= size(r) - 3 AND r[greatest(i - 1, 0)] > r[i] AND r[i] <= r[least(i + 1, size(r) - 1)]))"""
 
 
+#: A chunk's start and length as one number, so that sets of them are hashed.
+_CODE = "(shiftleft(cast({} AS bigint), 32) | {})"
+
+
 def _bind(value: str, name: str, body: str) -> str:
     """SQL for body, in which name is value, computed once."""
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
@@ -47,8 +51,8 @@ def _keyed(df: DataFrame) -> DataFrame:
 
 
 def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """doc, starts, n_lines: of each document that loses chunks, where these start and how many lines they have. docs:
-    doc_id, text, doc."""
+    """doc, gone, gone_lines: of each document that loses chunks, these as codes of start and length, and their lines. docs: doc_id,
+    text, doc."""
     each = with_chunks(docs.where("text IS NOT NULL").select("doc", "text")).select("doc", F.explode("chunks").alias("c")).where("c.n > 1")
     hashed = written(each.select("doc", F.xxhash64("c.body").alias("h"), "c.start", "c.n").distinct(), "line-chunks")
     again = hashed.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("h").alias("again"))
@@ -68,7 +72,12 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
         own = first.join(shared, F.col("h") == F.col("again"), "left_semi").where("c > 1").select(F.col("h").alias("again"), F.col("check").alias("check2"), "first")
         own = bodies.join(own, (F.col("h") == F.col("again")) & (F.xxhash64(F.reverse("body")) == F.col("check2"))).where(~F.struct("doc", "start").eqNullSafe(F.col("first")))
         gone = gone.unionByName(own.select("doc", "start", "n").distinct())
-    return gone.groupBy("doc").agg(F.collect_list("start").alias("starts"), F.sum("n").alias("gone_lines"))
+    return gone.groupBy("doc").agg(F.collect_list(F.expr(_CODE.format("start", "n"))).alias("gone"), F.sum("n").alias("gone_lines"))
+
+
+def _counted(gone: DataFrame) -> DataFrame:
+    """gone with a broadcast hint if its lists are short all together."""
+    return maybe_broadcast(gone, gone.agg(F.coalesce(F.sum(F.size("gone") + 4), F.lit(0))).first()[0])
 
 
 def line_dedup(docs: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -82,27 +91,34 @@ def line_dedup(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     rows, names = packed(docs, doc_id="doc_id:long", text="text:string")
     rows = _keyed(rows)
     gone = written(repeated_chunks(_keyed(plain(docs, doc_id="doc_id:long", text="text:string"))), "line-gone")
-    gone = maybe_broadcast(gone, gone.count()).withColumnRenamed("doc", "lost")
-    out = with_chunks(rows).join(gone, F.col("doc").eqNullSafe(F.col("lost")), "left")
-    kept = _bind("coalesce(starts, array())", "g", "array_join(transform(filter(chunks, c -> NOT array_contains(g, c.start)), c -> c.body), '\\n')")
-    kept = f"CASE WHEN text IS NULL OR starts IS NULL THEN text ELSE {kept} END"
-    out = out.select("row", "doc_id", "text", F.expr(kept).alias("kept_text"), F.expr(f"cast(CASE WHEN text IS NULL THEN 0 ELSE size({_LINES}) END AS long)").alias("n_lines"), F.expr("cast(coalesce(size(chunks), 0) AS long)").alias("n_chunks"), F.expr("cast(CASE WHEN starts IS NULL THEN 0 ELSE size(starts) END AS long)").alias("n_removed_chunks"), F.coalesce("gone_lines", F.lit(0)).cast("long").alias("n_removed_lines"))
+    out = with_chunks(rows).join(_counted(gone).withColumnRenamed("doc", "lost"), F.col("doc").eqNullSafe(F.col("lost")), "left")
+    left = f"array_except(transform(chunks, c -> {_CODE.format('c.start', 'c.n')}), gone)"
+    kept = _bind(_LINES, "l", f"array_join(transform({left}, k -> array_join(slice(l, cast(shiftright(k, 32) AS int) + 1, cast(k & 4294967295 AS int)), '\n')), '\n')")
+    kept = f"CASE WHEN text IS NULL OR gone IS NULL THEN text ELSE {kept} END"
+    out = out.select("row", "doc_id", "text", F.expr(kept).alias("kept_text"), F.expr(f"cast(CASE WHEN text IS NULL THEN 0 ELSE size({_LINES}) END AS long)").alias("n_lines"), F.expr("cast(coalesce(size(chunks), 0) AS long)").alias("n_chunks"), F.expr("cast(CASE WHEN gone IS NULL THEN 0 ELSE size(gone) END AS long)").alias("n_removed_chunks"), F.coalesce("gone_lines", F.lit(0)).cast("long").alias("n_removed_lines"))
     return out, names
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """doc, gone: of each document that loses lines, their places. docs: doc_id, text, doc.
 
-    A pair is two adjacent lines, known by 128 bits of hash. Of a pair that occurs more than once all but the first place lose both
-    lines, except lines that also belong to the first place of another such pair."""
-    pairs = _bind(_LINES, "l", "transform(slice(l, 1, size(l) - 1), (x, i) -> struct(i AS at, xxhash64(x, l[i + 1]) AS h, xxhash64(l[i + 1], 1L, x) AS g))")
-    each = docs.where("text IS NOT NULL AND instr(text, '\\n') > 0").select("doc", F.explode(F.expr(pairs)).alias("p")).select("doc", "p.at", "p.h", "p.g")
+    The chunks here are the smallest that have more than one line, with a boundary at every line: pairs of adjacent lines. Of
+    a pair whose bytes occur more than once all but the first place lose both lines, except lines that also belong to the first
+    place of another such pair."""
+    pair = "struct(i AS at, xxhash64(x, l[i + 1]) AS h, xxhash64(l[i + 1], 1L, x) AS g{})"
+    pairs = lambda more: F.expr(_bind(_LINES, "l", f"transform(slice(l, 1, size(l) - 1), (x, i) -> {pair.format(more)})"))
+    some = docs.where("text IS NOT NULL AND instr(text, '\n') > 0")
+    each = some.select("doc", F.explode(pairs("")).alias("p")).select("doc", "p.at", "p.h", "p.g")
     each = written(each.distinct(), "line-pairs")
     again = written(each.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("h").alias("again")), "line-pairs-again")
-    some = each.join(maybe_broadcast(again, again.count()), F.col("h") == F.col("again"), "left_semi")
-    first = some.groupBy("h", "g").agg(F.min(F.struct("doc", "at")).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("h").alias("h1"), F.col("g").alias("g1"), "first")
-    first = written(first, "line-pairs-first")
-    marked = some.join(maybe_broadcast(first, first.count()), (F.col("h") == F.col("h1")) & (F.col("g") == F.col("g1")))
+    bodies = some.select("doc", F.explode(pairs(", concat_ws('\n', x, l[i + 1]) AS body")).alias("p")).select("doc", "p.*")
+    bodies = bodies.join(maybe_broadcast(again, again.count()), F.col("h") == F.col("again"), "left_semi")
+    # Equal bytes meet here, as in repeated_chunks(). Rows that are equal in document and place are one.
+    same = bodies.groupBy("h", "g", "body").agg(F.min(F.struct("doc", "at")).alias("first"), F.max(F.struct("doc", "at")).alias("final"))
+    same = same.groupBy(F.col("h").alias("h1"), F.col("g").alias("g1")).agg(F.count(F.lit(1)).alias("texts"), F.first("first").alias("first"), F.first("final").alias("final"))
+    # Different texts with the same 128 bits would be left alone.
+    first = written(same.where("texts = 1 AND first <> final").drop("texts", "final"), "line-pairs-first")
+    marked = each.join(maybe_broadcast(first, first.count()), (F.col("h") == F.col("h1")) & (F.col("g") == F.col("g1")))
     marked = marked.select("doc", "at", F.struct("doc", "at").eqNullSafe(F.col("first")).alias("stays"))
     out = marked.groupBy("doc").agg(*(F.collect_list(F.when(F.col("stays") == x, F.col("at"))).alias(k) for k, x in (("again", False), ("held", True)))).where("size(again) > 0")
     both = "concat({0}, transform({0}, x -> x + 1))"
@@ -114,7 +130,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     documents that lose all their lines go. Places are compared as in line_dedup(), and rows are treated as there."""
     rows, names = packed(docs, doc_id="doc_id:long", text="text:string")
     gone = written(repeated_lines(_keyed(plain(docs, doc_id="doc_id:long", text="text:string"))), "line-gone")
-    gone = maybe_broadcast(gone, gone.count()).withColumnRenamed("doc", "lost")
+    gone = _counted(gone).withColumnRenamed("doc", "lost")
     out = _keyed(rows).join(gone, F.col("doc").eqNullSafe(F.col("lost")), "left")
     left = _bind(_LINES, "l", "transform(array_except(sequence(0, size(l) - 1), gone), i -> l[i])")
     out = out.withColumn("left", F.expr(f"CASE WHEN gone IS NOT NULL THEN {left} END")).where("left IS NULL OR size(left) > 0")

@@ -12,8 +12,9 @@ Only different segments of one anchor, the edges of repeated passages, are index
 
 Scale: what is shuffled of all text is 12 bytes an anchor, and one narrow row a segment; words go on only for segments of shared anchors,
 one of each kind. Texts are compressed before they meet their document's intervals. A shard has about SHARD_SEGMENTS segments. An
-anchor with more than HOT_SEGMENTS different segments (a passage with ever different neighbours) isn't brought to one task: its
-windows are counted by hash, with map-side combining.
+anchor with more than HOT_SEGMENTS different segments (a passage of few more words than a window, with ever different neighbours)
+isn't brought to one task. Its windows share nearly all their grams, so no second anchor would part them: they are grouped as
+whole windows, byte by byte, with map-side combining.
 """
 
 from __future__ import annotations
@@ -221,27 +222,28 @@ def repeats(docs: DataFrame, pressed: DataFrame, window: int) -> DataFrame:
         bodies = written(bodies, "bodies")
     found = bodies.where(F.col("kinds") <= HOT_SEGMENTS).select("anchor", "seg", "times", "body", shard).groupBy("shard").applyInArrow(search, "anchor long, seg long, flags long")
     if hot:
-        found = found.unionByName(_by_hash(bodies.where(F.col("kinds") > HOT_SEGMENTS).dropDuplicates(["anchor", "seg"]), window))
+        found = found.unionByName(_by_bytes(bodies.where(F.col("kinds") > HOT_SEGMENTS).dropDuplicates(["anchor", "seg"]), window))
     flags = written(flat.unionByName(found.where("flags <> 0")), "flags").select(F.col("anchor").alias("a"), F.col("seg").alias("s"), "flags")
     hits = some.join(flags, (F.col("anchor") == F.col("a")) & (F.col("seg") == F.col("s"))).select("doc", "first", "flags").distinct()
     return hits.groupBy("doc").agg(F.collect_list(F.struct("first", "flags")).alias("at"))
 
 
-def _by_hash(bodies: DataFrame, window: int) -> DataFrame:
-    """The flags of segments whose anchor is too common for one shard, by counting window hashes."""
+def _by_bytes(bodies: DataFrame, window: int) -> DataFrame:
+    """The flags of segments whose anchor is too common for one shard, by counting their windows' words."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sums = [prefix(x.split(b" ")) for x in b.column("body").to_pylist()]
-            hashes = [span(s, np.arange(len(s) - window), window) for s in sums]
-            rows = pa.array(np.repeat(np.arange(b.num_rows), [len(h) for h in hashes]))
-            places = np.concatenate([np.arange(len(h)) for h in hashes]).astype(np.int32)
-            arrays = [pa.array(np.concatenate(hashes).view(np.int64)), *(b.column(c).take(rows) for c in ("anchor", "seg", "times")), pa.array(places)]
-            yield pa.RecordBatch.from_arrays(arrays, ["h", "anchor", "seg", "times", "place"])
-
-    rows = written(bodies.select("anchor", "seg", "times", "body").mapInArrow(each, "h long, anchor long, seg long, times long, place int"), "windows")
-    again = rows.groupBy("h").agg(F.sum("times").alias("c")).where("c > 1").select(F.col("h").alias("again"))
-    return rows.join(again, F.col("h") == F.col("again")).groupBy("anchor", "seg").agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("flags"))
+            split = [x.split(b" ") for x in b.column("body").to_pylist()]
+            windows = [[b" ".join(x[i : i + window]) for i in range(len(x) - window + 1)] for x in split]
+            rows = pa.array(np.repeat(np.arange(b.num_rows), [len(w) for w in windows]))
+            places = pa.array([i for w in windows for i in range(len(w))], pa.int32())
+            arrays = [pa.array([x for w in windows for x in w], pa.binary()), *(b.column(c).take(rows) for c in ("anchor", "seg", "times")), places]
+            yield pa.RecordBatch.from_arrays(arrays, ["words", "anchor", "seg", "times", "place"])
+
+    rows = written(bodies.select("anchor", "seg", "times", "body").mapInArrow(each, "words binary, anchor long, seg long, times long, place int"), "windows")
+    again = rows.groupBy("words").agg(F.sum("times").alias("c")).where("c > 1").select(F.col("words").alias("again"))
+    again = written(again, "windows-again")  # so that AQE can split a window that is everywhere
+    return rows.join(again, F.col("words") == F.col("again")).groupBy("anchor", "seg").agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("flags"))
 
 
 def cover(n: int, at: list[dict], window: int) -> np.ndarray:

@@ -134,12 +134,22 @@ class Machine:
         return (self.weights[subsequences(x)] @ triples(x.shape[1])[1]) / np.sqrt(self_kernel(x)) + self.bias
 
 
+def windows_of(word: str) -> list[str]:
+    """The pieces of a word that are scored on their own: itself up to WINDOW letters, otherwise half overlapping windows of its
+    letters."""
+    if len(word) <= WINDOW:
+        return [word]
+    kept = "".join(c for c in word if _letter(c))
+    n = len(kept)
+    return [word] if n <= WINDOW else [kept[i : i + WINDOW] for i in (*range(0, n - WINDOW, WINDOW // 2), n - WINDOW)]
+
+
 def _vectors(words: list[str]) -> np.ndarray:
-    """Subsequence weights of words, normalised: rows of LETTERS ** ORDER, float32."""
+    """Subsequence weights of words (WINDOW letters at most, see windows_of()), normalised: rows of LETTERS ** ORDER, float32."""
     codes, ends = letters_of(words)
     out = np.zeros((len(words), LETTERS**ORDER), np.float32)
     for i, (a, b) in enumerate(zip(np.concatenate(([0], ends[:-1])).tolist(), ends.tolist(), strict=True)):
-        x = codes[a:b][None, :WINDOW]
+        x = codes[a:b][None]
         if x.shape[1] >= ORDER:
             np.add.at(out[i], subsequences(x)[0], triples(x.shape[1])[1])
             out[i] /= np.linalg.norm(out[i])
@@ -215,9 +225,16 @@ def _grams(text: str | None) -> set[str]:
     return {w[i : i + 4] for w in parts(text) for i in range(len(w) - 3)}
 
 
-def train(docs: DataFrame, labels: DataFrame, *, learns: str, max_train: int = MAX_TRAIN, rounds: int = ROUNDS) -> Model:
+def train(
+    docs: DataFrame, labels: DataFrame, *, learns: str, max_train: int = MAX_TRAIN, rounds: int = ROUNDS, max_signs: int = 2000, witnesses: int = 4, others: int = 3, max_varied: int = 1500
+) -> Model:
     """learns: SQL over doc_id, true where a row's label may be learnt. Labels that are null don't count; of several labels of a
-    document the largest does. Without labels of both classes every text scores the share of toxic labels (none: 0)."""
+    document the largest does. Without labels of both classes every text scores the share of toxic labels (none: 0).
+
+    The training set is bounded: max_train texts of each class, of each text at most `witnesses` words that fit best, of a clean
+    one also `others` by hash; max_signs: telling runs of four letters; max_varied: positive words that get variants with
+    letters put in. Long words take part by their windows, as in scoring. Where no run of letters reaches SIGN (few
+    labels), the best ones take its place: those with at least half of the largest ratio."""
     own = plain(labels, doc_id="doc_id:long", toxic="toxic:int").where(f"doc_id IS NOT NULL AND toxic IN (0, 1) AND {learns}")
     own = own.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     totals = dict(own.groupBy("toxic").count().collect())
@@ -243,7 +260,9 @@ def train(docs: DataFrame, labels: DataFrame, *, learns: str, max_train: int = M
     every = n[0] + n[1]
     part = lambda k, m: F.when(F.col(k) > 0, F.col(k) * F.log(F.col(k) * every / ((F.col("bad") + F.col("good")) * m))).otherwise(0.0)
     ratio = F.when(F.col("bad") * n[0] > TIMES * (F.col("good") + 0.5) * n[1], 2 * (part("bad", n[1]) + part("good", n[0]))).otherwise(0.0)
-    top = grams.where("bad > 2").select("gram", ratio.alias("g")).where(F.col("g") > SIGN).orderBy(F.col("g").desc(), "gram").limit(2000).toPandas()
+    top = grams.where("bad > 1").select("gram", ratio.alias("g"), "bad").where("g > 0").orderBy(F.col("g").desc(), "gram").limit(max_signs).toPandas()
+    floor = min(SIGN, float(top["g"].max()) / 2) if len(top) else SIGN
+    top = top[(top["g"] > floor) & ((floor < SIGN) | (top["bad"] > 2))]
     weight = dict(zip(top["gram"], top["g"].astype(float), strict=True))
 
     def first_look(word: str) -> float:
@@ -259,20 +278,20 @@ def train(docs: DataFrame, labels: DataFrame, *, learns: str, max_train: int = M
                 words, values, bad = [], [], []
                 all_toxic, texts = b.column("toxic").to_pylist(), b.column("text").to_pylist()
                 for i in range(0, len(texts), 128):
-                    known = [sorted(parts(t), key=lambda w: zlib.crc32(w.encode("utf-8", "surrogatepass"))) for t in texts[i : i + 128]]
+                    known = [sorted({x for w in parts(t) for x in windows_of(w)}, key=lambda w: (zlib.crc32(w.encode("utf-8", "surrogatepass")), w)) for t in texts[i : i + 128]]
                     new = list(set().union(*known))
                     look = {w: first_look(w) for w in new}
                     fits = look if model is None else dict(zip(new, model.machine.scores(new).tolist(), strict=True))
                     for toxic, own in zip(all_toxic[i : i + 128], known, strict=True):
                         # A toxic text's witnesses hold a telling run of letters; its other words are as any text's.
-                        some = sorted((w for w in own if not toxic or look[w] > SIGN), key=lambda w: (-fits[w], w))[:4]
-                        some += [] if toxic else own[:3]
+                        some = sorted((w for w in own if not toxic or look[w] > floor), key=lambda w: (-fits[w], w))[:witnesses]
+                        some += [] if toxic else own[:others]
                         words += some
                         values += [fits[w] for w in some]
                         bad += [toxic] * len(some)
                 yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(values, pa.float64()), pa.array(bad, pa.int32())], ["word", "value", "bad"])
 
-        return sample.select("toxic", "text").mapInArrow(each, "word string, value double, bad int").orderBy("bad", "value", "word").toPandas()
+        return sample.select("toxic", "text").mapInArrow(each, "word string, value double, bad int").toPandas().sort_values(["bad", "value", "word"], ignore_index=True)
 
     machine: Machine | None = None
     clean: Counter = Counter()
@@ -285,7 +304,7 @@ def train(docs: DataFrame, labels: DataFrame, *, learns: str, max_train: int = M
         if not positive:
             break
         rng = np.random.default_rng(5)
-        for w in sorted(positive, key=lambda w: (-positive[w], w))[:1500]:
+        for w in sorted(positive, key=lambda w: (-positive[w], w))[:max_varied]:
             for v in gapped(w, rng):
                 positive.setdefault(v, 0.5)
         machine = fit(positive, {w: float(k) for w, k in sorted(clean.items()) if w not in positive} or {"the": 1.0})
@@ -304,7 +323,7 @@ def _values(sample: DataFrame, model: Model):
             values, _ = model.values(b.column("text").to_pylist(), memory)
             yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(values)], ["toxic", "value"])
 
-    return sample.select("toxic", "text").mapInArrow(each, "toxic int, value double").orderBy("toxic", "value").toPandas()
+    return sample.select("toxic", "text").mapInArrow(each, "toxic int, value double").toPandas().sort_values(["toxic", "value"], ignore_index=True)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weights: np.ndarray) -> tuple[float, float]:

@@ -31,7 +31,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import plain, shared_path, table
+from .common import maybe_broadcast, plain, shared_path, table, written
 
 SCHEMA = "record_id string, record_type string, date string, target_uri string, content_type string, payload_digest string, payload_bytes long, page_id long, refers_to long, headers map<string,string>, http_headers string, payload binary"
 #: Column: header. What is pushed down is judged by these alone.
@@ -363,9 +363,11 @@ def write_warc(pages: DataFrame, path: str, *, revisit_min_bytes: int = 0, compr
     p = plain(pages, page_id="page_id:long", url="url:string", html="html:string")
     p = p.withColumn("payload", F.encode(F.coalesce("html", F.lit("")), "UTF-8")).drop("html")
     p = p.withColumn("hex", F.sha1("payload")).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
-    same = p.where(F.col("payload_bytes") >= revisit_min_bytes).groupBy(F.col("hex").alias("h"), F.col("payload_bytes").alias("n"))
-    same = same.agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1 AND first IS NOT NULL").drop("c")
-    p = p.join(same, (F.col("hex") == F.col("h")) & (F.col("payload_bytes") == F.col("n")), "left")
+    # Only digests, lengths and ids are shuffled; of repeated payloads a row each is written and, by their counted number, broadcast.
+    keys = p.where(F.col("payload_bytes") >= revisit_min_bytes).select("hex", "payload_bytes", "page_id")
+    same = keys.groupBy(F.col("hex").alias("h"), F.col("payload_bytes").alias("n")).agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("c"))
+    same = written(same.where("c > 1 AND first IS NOT NULL").drop("c"), "warc-same")
+    p = p.join(maybe_broadcast(same, same.count()), (F.col("hex") == F.col("h")) & (F.col("payload_bytes") == F.col("n")), "left")
     revisits = F.coalesce(~F.col("page_id").eqNullSafe(F.col("first")) & F.col("first").isNotNull(), F.lit(False))
     base32 = F.expr("array_join(transform(sequence(0, 31), i -> substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast(conv(substring(bits, i * 5 + 1, 5), 2, 10) AS int) + 1, 1)), '')")
     bits = F.expr("array_join(transform(sequence(0, 3), i -> lpad(conv(substring(hex, i * 10 + 1, 10), 16, 2), 40, '0')), '')")

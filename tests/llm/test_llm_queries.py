@@ -404,3 +404,28 @@ def test_op4_very_long_runs(spark):
     texts = [" " * 2_000_000, "\n" * 2_000_000, "a" * 2_000_000, "😀" * 300_000, ("ab " + " " * 5000) * 50]
     rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), tokenizer=path).groupBy("doc_id").sum("length").collect()
     assert {i: n for i, n in rows} == {i: len(t.encode(x, add_special_tokens=False).ids) + 1 for i, x in enumerate(texts)}
+
+
+def test_op5_recall_and_auc(spark):
+    """Floors on labels that weren't learnt; 38 of the 39 toxic texts missed at sf0.1 hold no plain insult."""
+    got = queries.QUERIES["op5_toxicity"](spark, "/root/testdata/sf0.01").toPandas()
+    m = got.merge(spark.read.parquet("/root/testdata/sf0.01/labels.parquet").toPandas(), on="doc_id")
+    for part in (m[m.held_out], m[~m.held_out]):
+        bad, good = part.score[part.toxic == 1].to_numpy(), part.score[part.toxic == 0].to_numpy()
+        assert (bad >= 0.5).mean() >= 0.55 and (good >= 0.5).mean() <= 0.02
+        assert (bad[:, None] > good).mean() + 0.5 * (bad[:, None] == good).mean() >= 0.72
+
+
+def test_few_labels_are_learnt(spark, small):
+    """Where no run of letters reaches the usual floor, the best ones count."""
+    got = queries.QUERIES["op5_toxicity"](spark, small).toPandas()
+    m = got.merge(spark.read.parquet(f"{small}/labels.parquet").toPandas(), on="doc_id")
+    assert (m.predicted[m.toxic == 1] == 1).mean() >= 0.5 and (m.predicted[m.toxic == 0] == 1).mean() <= 0.1
+
+
+def test_long_words_train_by_the_windows_that_score():
+    m = toxicity.fit({"idiot": 1.0, "moron": 1.0}, {w: 1.0 for w in ("table", "garden", "window", "reading", "paper")})
+    for word in ("short", "x" * 30 + "idiot" + "y" * 40, "--" + "ab" * 40 + "!" + "moron"):
+        parts = toxicity.windows_of(word)
+        assert all(len(p) <= toxicity.WINDOW for p in parts)
+        assert math.isclose(float(m.scores([word])[0]), float(m.scores(parts).max()), rel_tol=1e-5, abs_tol=1e-6)
