@@ -1,4 +1,9 @@
-"""Near-duplicates by true Jaccard similarity of word shingles: a set-similarity join with prefix filter, complete.
+"""Near-duplicates at a Jaccard similarity: the SimHash index first, then an exact way for what fingerprints can't promise.
+
+Pairs whose fingerprints the index of simhash.py finds near are verified by their whole shingle sets; they are most near copies.
+But no number of differing bits is a bound for a similarity: sets of similarity 0.8 differ in 15 % of the bits on average, some
+in many more, so an index over bytes has no guaranteed count there. The rest is found by a prefix filter over the shingles themselves,
+another inverted index with a guaranteed count, and complete:
 
 A set of n shingles that is similar to another shares at least ceil(similarity * n) of its shingles with it, so in any order that
 holds for all sets the first n - ceil(similarity * n) + 1 of both have a shingle in common: whoever is similar meets in a list of
@@ -22,7 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import maybe_broadcast, plain, written
 from .components import components
-from .simhash import hash_blocks
+from .simhash import fingerprint_of, hash_blocks
+from .simhash import links as fingerprint_links
 
 #: Documents of the sample, and how many of its most frequent shingles count as frequent, from so many documents on.
 SAMPLE, FREQUENT, LEAST = 20_000, 50_000, 3
@@ -65,21 +71,23 @@ def _frequent(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def with_prefixes(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """doc_id, text_hash, node (the same for equal sets), n: size of the set, prefix. docs: doc_id, text."""
+    """doc_id, text_hash, node (the same for equal sets), n: size of the set, sig: fingerprint, prefix. docs: doc_id, text."""
     often, times = _frequent(docs, shingle)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            node, n, first = [], [], []
+            node, n, sig, first = [], [], [], []
             for t in b.column("text"):
-                s = shingle_set(t.as_py(), shingle)
+                hashes = [*hash_blocks(t.as_py(), shingle)]
+                s = np.unique(np.concatenate([np.empty(0, np.uint64), *hashes])).view(np.int64)
+                sig.append(fingerprint_of(hashes))
                 node.append(_node(s))
                 n.append(len(s))
                 first.append(prefix(s, similarity, often, times))
-            cols = [b.column("doc_id"), b.column("text_hash"), pa.array(node, pa.int64()), pa.array(n, pa.int32()), pa.array(first, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text_hash", "node", "n", "prefix"])
+            cols = [b.column("doc_id"), b.column("text_hash"), pa.array(node, pa.int64()), pa.array(n, pa.int32()), pa.array(sig, pa.binary()), pa.array(first, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text_hash", "node", "n", "sig", "prefix"])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(each, "doc_id long, text_hash long, node long, n int, prefix array<long>")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(each, "doc_id long, text_hash long, node long, n int, sig binary, prefix array<long>")
 
 
 def _similar(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -101,8 +109,15 @@ def _similar(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int,
     return written(both.where(F.col("c") / (F.col("n") + F.col("m") - F.col("c")) >= similarity).select("a", "b"), "jaccard-links")
 
 
-def links(docs: DataFrame, nodes: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """a, b: edges whose components are those of all pairs of similar nodes. nodes: node, n, prefix, first, each node once."""
+def near_fingerprints(nodes: DataFrame, max_diff: int) -> DataFrame:
+    """a, b: edges whose components are those of all nodes whose fingerprints differ in max_diff bits at most. nodes: node, sig."""
+    each = nodes.select("node", "sig", F.min("node").over(Window.partitionBy("sig")).alias("low"))
+    same = each.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b"))
+    return same.union(fingerprint_links(each.where("node = low").select("node", "sig"), 8, max_diff))
+
+
+def links(docs: DataFrame, nodes: DataFrame, shingle: int, similarity: float, max_diff: int) -> DataFrame:
+    """a, b: edges whose components are those of all pairs of similar nodes. nodes: node, n, sig, prefix, first, each node once."""
     able = f"""least(n, m) >= {similarity!r} * greatest(n, m) - 1e-9
       AND 1 + least(n - 1 - p, m - 1 - q) >= {similarity!r} / (1 + {similarity!r}) * (n + m) - 1e-9"""
     rows = nodes.select("node", "n", F.posexplode("prefix").alias("p", "key"))
@@ -110,8 +125,9 @@ def links(docs: DataFrame, nodes: DataFrame, shingle: int, similarity: float) ->
     hub = F.min(F.struct("node", "n", "p")).over(key)
     met = rows.withColumn("hub", hub).withColumn("last", F.max("node").over(key)).where("hub.node <> last")
     met = written(met.drop("last"), "jaccard-met")
-    stars = met.withColumn("m", F.col("hub.n")).withColumn("q", F.col("hub.p")).where(f"node <> hub.node AND {able}").select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
-    stars = written(stars, "jaccard-stars")
+    stars = met.withColumn("m", F.col("hub.n")).withColumn("q", F.col("hub.p")).where(f"node <> hub.node AND {able}").select(F.col("hub.node").alias("a"), F.col("node").alias("b"))
+    near = near_fingerprints(nodes, max_diff).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    stars = written(stars.union(near).distinct(), "jaccard-stars")
     near = components(_similar(stars, docs, nodes, shingle, similarity))
     near = written(near.withColumnRenamed("node", "r"), "jaccard-near")
     # What is still apart: all pairs of a list that are in different components.
@@ -124,17 +140,18 @@ def links(docs: DataFrame, nodes: DataFrame, shingle: int, similarity: float) ->
     return _similar(rest, docs, nodes, shingle, similarity).union(near.select("r", "root"))
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, max_diff: int = 2) -> DataFrame:
     """One row per document: doc_id, text_hash, component_id (the smallest doc_id of those reachable over pairs whose shingle sets
     have this Jaccard similarity or more), node (the group's own key), first (as in simhash.near_duplicates).
 
     A-Z are lower-cased; fewer words than a shingle has: their whole sequence is the shingle. Texts without words (also null ones)
-    are alike. Null ids as in simhash.near_duplicates. No rows: no rows."""
+    are alike. max_diff: bits in which 64-bit fingerprints differ at most that the first index links; it has no part in the result.
+    Null ids as in simhash.near_duplicates. No rows: no rows."""
     docs = plain(docs, doc_id="doc_id:long", text="text:string")
     sets = written(with_prefixes(docs, shingle, similarity), "jaccard-prefixes")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first")
-    nodes = written(sets.groupBy("node").agg(first, F.first("n").alias("n"), F.first("prefix").alias("prefix")), "jaccard-nodes")
-    found = components(links(docs, nodes, shingle, similarity)).withColumnRenamed("node", "r")
+    nodes = written(sets.groupBy("node").agg(first, F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("prefix").alias("prefix")), "jaccard-nodes")
+    found = components(links(docs, nodes, shingle, similarity, max_diff)).withColumnRenamed("node", "r")
     placed = written(nodes.select("node", "first").join(found, F.col("node") == F.col("r"), "left").select("node", "first", F.coalesce("root", "node").alias("root")), "jaccard-placed")
     groups = placed.groupBy("root").agg(F.min("first").alias("first"))
     placed = placed.select(F.col("node").alias("r"), "root").join(groups, "root")

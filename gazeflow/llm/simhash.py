@@ -3,8 +3,9 @@
 A fingerprint's bit is the majority of that bit over the hashes of a text's word shingles. Links are found by an index of
 positional bytes with count filtering: fingerprints that differ in at most d bits differ in at most d bytes, so at least
 (bytes - d) positional bytes are shared. Every posting list stands for one set of that many positions, so whoever meets in
-a list has reached the guaranteed count; the tally over all positions and the bit difference are then verified. Where the
-guarantee is too weak to select (long fingerprints, many bits), lists stand for runs of key_bytes positions instead.
+a list has reached the guaranteed count; the tally over all positions and the bit difference are then verified. Single bytes
+would make lists of a 256th of all documents each, and a tally row for every pair in them; a set's list is what their
+intersection is, without these pairs.
 
 Scale: equal fingerprints are one node, so copies never meet as pairs; a list of the exact form shares all but d bytes, which
 bounds it to 2^(8 d) nodes, whatever the number of documents (d = 2: 65,536). A list returns a forest, not its pairs. Lists with
@@ -13,9 +14,8 @@ one node, nearly all, end after counting. Components: see components.py. Only id
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import combinations
-from math import acos, pi
 
 import numpy as np
 import pyarrow as pa
@@ -30,16 +30,19 @@ SEED = 42
 BLOCK = 1 << 15
 
 
-def fingerprint(text: str | None, shingle: int = 3, words64: int = 1) -> bytes:
-    """The fingerprint of a whole text, 8 * words64 bytes, most significant first. A-Z are lower-cased. No words: zeros; fewer
-    words than a shingle has: their whole sequence is the shingle. Word k > 0 of a long fingerprint comes from the hashes
-    with seed 42 + k."""
-    counts, n = np.zeros((words64, 64), np.int64), 0
-    for h in hash_blocks(text, shingle):
+def fingerprint(text: str | None, shingle: int = 3) -> bytes:
+    """The 64-bit fingerprint of a whole text, most significant byte first. A-Z are lower-cased. No words: zeros; fewer words than a
+    shingle has: their whole sequence is the shingle."""
+    return fingerprint_of(hash_blocks(text, shingle))
+
+
+def fingerprint_of(blocks: Iterable[np.ndarray]) -> bytes:
+    """The fingerprint from the hashes of all shingles."""
+    counts, n = np.zeros(64, np.int64), 0
+    for h in blocks:
         n += len(h)
-        for k in range(words64):
-            counts[k] += _bit_counts(_mixed(h, k) if k else h)
-    return np.packbits(2 * counts > n, axis=1).tobytes()
+        counts += _bit_counts(h)
+    return np.packbits(2 * counts > n).tobytes()
 
 
 def hash_blocks(text: str | None, shingle: int) -> Iterator[np.ndarray]:
@@ -73,31 +76,21 @@ def _bit_counts(h: np.ndarray) -> np.ndarray:
     return out.ravel()[::-1]
 
 
-def _mixed(h: np.ndarray, k: int) -> np.ndarray:
-    """The k-th further hash of a shingle: the SplitMix64 finaliser over its first hash plus a multiple of the golden ratio."""
-    z = h + np.uint64((0x9E3779B97F4A7C15 * k) & (2**64 - 1))
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return z ^ (z >> np.uint64(31))
-
-
-def with_fingerprints(docs: DataFrame, shingle: int, words64: int) -> DataFrame:
+def with_fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
     """doc_id, text_hash, sig: binary. docs: doc_id, text."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sigs = [fingerprint(t.as_py(), shingle, words64) for t in b.column("text")]
+            sigs = [fingerprint(t.as_py(), shingle) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(sigs, pa.binary())], ["doc_id", "text_hash", "sig"])
 
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(each, "doc_id long, text_hash long, sig binary")
 
 
-def _postings(sig: Column, n_bytes: int, max_diff: int, key_bytes: int | None) -> Column:
-    """The keys of the posting lists of a fingerprint: one for each set of positions."""
-    if key_bytes is None:
-        sets = list(combinations(range(n_bytes), n_bytes - max_diff))
-    else:
-        sets = [tuple(range(i, i + key_bytes)) for i in range(0, n_bytes - key_bytes + 1, key_bytes)]
+def _postings(sig: Column, n_bytes: int, max_diff: int) -> Column:
+    """The keys of the posting lists of a fingerprint: one for each set of positions. A set's list is the intersection of the lists of its
+    single bytes: whoever is in it has a tally of as many shared bytes."""
+    sets = list(combinations(range(n_bytes), n_bytes - max_diff))
     byte = [F.substring(sig, i + 1, 1) for i in range(n_bytes)]
     return F.array(*(F.xxhash64(F.lit(k), *(byte[i] for i in at)) for k, at in enumerate(sets)))
 
@@ -148,9 +141,9 @@ def forest(sigs: np.ndarray, max_diff: int, least_bytes: int) -> np.ndarray:
     return label
 
 
-def links(nodes: DataFrame, n_bytes: int, max_diff: int, key_bytes: int | None) -> DataFrame:
+def links(nodes: DataFrame, n_bytes: int, max_diff: int) -> DataFrame:
     """a, b: edges whose components are those of all links. nodes: node long, sig binary, each sig once."""
-    rows = nodes.select("node", F.explode(_postings(F.col("sig"), n_bytes, max_diff, key_bytes)).alias("key"))
+    rows = nodes.select("node", F.explode(_postings(F.col("sig"), n_bytes, max_diff)).alias("key"))
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("key").alias("k"))
     met = written(rows.join(shared, F.col("key") == F.col("k"), "left_semi"), "simhash-met")
     lists = met.join(nodes, "node").groupBy("key").agg(F.collect_list(F.struct("node", "sig")).alias("of"))
@@ -172,34 +165,26 @@ def links(nodes: DataFrame, n_bytes: int, max_diff: int, key_bytes: int | None)
     return lists.select("of").mapInArrow(each, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = 5, words64: int = 32, max_diff: int | None = None, similarity: float = 0.8, key_bytes: int | None = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, shingle: int = 3, max_diff: int = 2) -> DataFrame:
     """One row per document: doc_id, text_hash, sig, component_id (the smallest doc_id of those reachable over links), node
     (the group's own key), first (the group's first document: struct of no_id, doc_id, text_hash).
 
-    shingle: words in one. words64: 64-bit words of a fingerprint. max_diff: differing bits of a link at most; None: what
-    shingle sets of this similarity (Jaccard) differ in on average, plus one standard deviation. key_bytes: None: the exact
-    index, which finds every link but needs a small max_diff; otherwise the bytes of a posting key (3 with 2048 bits: a pair
-    of similarity 0.9 meets in one of 85 lists in 99.8 % of cases, of 0.85 in 97 %, of 0.8 in 82 %).
+    shingle: words in one. max_diff: differing bits of a link at most. For groups by the similarity of shingle sets, see jaccard.py.
 
     Texts without words (also null ones) have zero fingerprints and link to each other. Equal rows are two documents of
     one group. Null ids: component_id is the smallest other one, or null. No rows: no rows."""
-    bits = 64 * words64
-    if max_diff is None:
-        p = acos(2 * similarity / (1 + similarity)) / pi
-        max_diff = int(bits * p + (bits * p * (1 - p)) ** 0.5)
-    sigs = written(with_fingerprints(plain(docs, doc_id="doc_id:long", text="text:string"), shingle, words64), "simhash")
+    sigs = written(with_fingerprints(plain(docs, doc_id="doc_id:long", text="text:string"), shingle), "simhash")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first")
-    node = F.conv(F.hex("sig"), 16, -10).cast("long") if words64 == 1 else F.xxhash64("sig")
-    nodes = written(sigs.groupBy("sig").agg(first).withColumn("node", node), "simhash-nodes")
-    found = components(links(nodes.select("node", "sig"), 8 * words64, max_diff, key_bytes)).withColumnRenamed("node", "n")
+    nodes = written(sigs.groupBy("sig").agg(first).withColumn("node", F.conv(F.hex("sig"), 16, -10).cast("long")), "simhash-nodes")
+    found = components(links(nodes.select("node", "sig"), 8, max_diff)).withColumnRenamed("node", "n")
     placed = written(nodes.join(found, F.col("node") == F.col("n"), "left").select("sig", "first", F.coalesce("root", "node").alias("node")), "simhash-placed")
     groups = placed.groupBy("node").agg(F.min("first").alias("first"))
     placed = placed.select("sig", "node").join(groups, "node").select(F.col("sig").alias("s"), "node", "first")
     return sigs.join(placed, F.col("sig") == F.col("s")).select("doc_id", "text_hash", "sig", F.col("first.doc_id").alias("component_id"), "node", "first")
 
 
-def one_of_each(docs: DataFrame, find: Callable[..., DataFrame] = near_duplicates, **how) -> DataFrame:
-    """The columns of docs, of each group of find() only the first document: smallest doc_id (null ids last), then the text's
+def one_of_each(docs: DataFrame, find: Callable[..., DataFrame], **how) -> DataFrame:
+    """The columns of docs, of each group of find() (near_duplicates() here or in jaccard.py) only the first document: smallest doc_id (null ids last), then the text's
     hash; of rows that are equal in both, one."""
     found = find(docs, **how)
     own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
@@ -213,5 +198,5 @@ def one_of_each(docs: DataFrame, find: Callable[..., DataFrame] = near_duplicate
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = near_duplicates(table(spark, sf_dir, "documents"), shingle=3, words64=1, max_diff=2, key_bytes=None)
+    out = near_duplicates(table(spark, sf_dir, "documents"), shingle=3, max_diff=2)
     return out.select("doc_id", F.lower(F.hex("sig")).alias("fingerprint"), "component_id")

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from gazeflow.llm import lattice_lm, line_dedup, line_quality, mixing, neighbours, packing, simhash, substring_dedup, toxicity, warc
+from gazeflow.llm import jaccard, lattice_lm, line_dedup, line_quality, mixing, neighbours, packing, simhash, substring_dedup, toxicity, warc
 
 LONG = " ".join(f"w{i % 997}x{i}" for i in range(30_000))
 LINES = "first line here\nsecond line there\nthird one\nfourth"
@@ -40,7 +40,7 @@ def bpe():
 
 def run_all(docs, labels, vocabulary, bpe):
     return {
-        "line_dedup": line_dedup.line_dedup(docs)[0].drop("row"), "deduplicated": line_dedup.deduplicated(docs), "near": simhash.near_duplicates(docs), "one": simhash.one_of_each(docs), "pack": packing.pack(docs, tokenizer=bpe, with_ids=True),
+        "line_dedup": line_dedup.line_dedup(docs)[0].drop("row"), "deduplicated": line_dedup.deduplicated(docs), "near": jaccard.near_duplicates(docs), "near_bits": simhash.near_duplicates(docs), "one": simhash.one_of_each(docs, jaccard.near_duplicates), "pack": packing.pack(docs, tokenizer=bpe, with_ids=True),
         "toxicity": toxicity.toxicity(docs, labels, learns="true"), "mix_plan": mixing.mix_plan(docs), "mix": mixing.mix(docs), "lm": lattice_lm.score(docs, vocabulary=vocabulary), "substring": substring_dedup.substring_dedup(docs), "quality": line_quality.line_frequency_rules(docs),
     }
 
@@ -48,7 +48,7 @@ def run_all(docs, labels, vocabulary, bpe):
 def test_odd_rows(docs, labels, vocabulary, bpe):
     out = {k: v.collect() for k, v in run_all(docs, labels, vocabulary, bpe).items()}
     n = len(ROWS)
-    for k in ("line_dedup", "near", "toxicity", "mix_plan", "lm", "substring", "quality"):
+    for k in ("line_dedup", "near", "near_bits", "toxicity", "mix_plan", "lm", "substring", "quality"):
         assert len(out[k]) == n, k
     # Line dedup: the chunk of documents 1 and 2 stays in 1; equal rows lose alike.
     kept = {r.doc_id: r.kept_text for r in out["line_dedup"] if r.doc_id is not None}
