@@ -105,19 +105,6 @@ def chunked(df: DataFrame, width: float, per_page: int, axis: Axis = SERIES) ->
     return df.withColumn("chunk", chunk.cast("long")).withColumn("page", F.floor(F.col("chunk") / per_page).cast("long"))
 
 
-def spike_filter(df: DataFrame, value: str, name: str, axis: Axis = SERIES) -> DataFrame:
-    """Local extremes become the nearer neighbour (equally near: the next), each judged against the already filtered one before. The order
-    makes this a fold over the series' array, whose cost grows with the square of its length; kernels.spike_filter() is for long series."""
-    rows = df.withColumn("_i", F.row_number().over(axis.w)).groupBy(*axis.keys).agg(F.sort_array(F.collect_list(F.struct("_i", F.col(value).alias("v"), F.struct(*df.columns).alias("row")))).alias("_a"))
-    fold = F.expr("""aggregate(sequence(1, size(_a)), cast(array() AS array<double>), (done, i) -> concat(done, array(
-      CASE WHEN i = 1 OR i = size(_a) OR _a[i - 1].v IS NULL OR _a[least(i, size(_a) - 1)].v IS NULL OR done[i - 2] IS NULL THEN _a[i - 1].v
-           WHEN (_a[i - 1].v > done[i - 2] AND _a[i - 1].v > _a[least(i, size(_a) - 1)].v) OR (_a[i - 1].v < done[i - 2] AND _a[i - 1].v < _a[least(i, size(_a) - 1)].v)
-             THEN CASE WHEN abs(_a[i - 1].v - done[i - 2]) < abs(_a[i - 1].v - _a[least(i, size(_a) - 1)].v) THEN done[i - 2] ELSE _a[least(i, size(_a) - 1)].v END
-           ELSE _a[i - 1].v END)))""")
-    rows = rows.withColumn("_f", fold).select(F.explode(F.arrays_zip(F.col("_a.row").alias("row"), F.col("_f").alias("f"))).alias("z"))
-    return rows.select("z.row.*", F.col("z.f").alias("_x")).withColumnRenamed("_x", name) if name not in df.columns else rows.select(*(F.col(f"z.row.{c}").alias(c) for c in df.columns if c != name), F.col("z.f").alias(name))
-
-
 def row_mean(*columns: str) -> Column:
     """The mean of those that aren't missing; null if all are."""
     n = sum((F.col(c).isNotNull().cast("int") for c in columns), F.lit(0))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -34,43 +36,43 @@ def ek_votes(df: DataFrame, factor: float, least: int, axis: Axis = SERIES, name
     return df.drop("_out", *(f"_{m}{c}" for m in ("m2", "m1", "s") for c in ("xvel", "yvel")))
 
 
-def nh_votes(df: DataFrame, start: float, c: float, rounds: int, axis: Axis = SERIES, name: str = "nh") -> DataFrame:
-    """True in runs above the onset threshold that reach the peak threshold; both from adaptive_threshold() by mean and sigma. Needs vel."""
-    thr = kinematics.adaptive_threshold(df, "vel", start, c, rounds, axis, robust=False)
-    df = df.join(thr, list(axis.keys))
+def nh_votes(df: DataFrame, start: float, c: float, axis: Axis = SERIES, name: str = "nh") -> DataFrame:
+    """True in runs above the onset threshold that reach the peak threshold; both from kinematics.threshold_of() by mean and sigma. Needs vel."""
+    df = kinematics.with_threshold(df, "vel", start, c, axis, robust=False)
     return runs.hysteresis(df, F.col("vel") > F.col("threshold"), F.col("vel") > F.col("onset"), axis, name).drop("threshold", "onset")
 
 
-def om_votes(df: DataFrame, threshold: float, apart: float, most: int, keys: list[str], name: str = "om") -> DataFrame:
-    """True around the fastest local peaks above a threshold, taken greedily by speed, at least `apart` in time from those taken and at most
-    `most` within half a second of them, and grown while the speed stays above the threshold. What is taken depends on
-    what was, so a series is one Arrow task. Needs t, pos, vel."""
-    names = df.columns
-
-    def vote(pdf):
-        pdf = pdf.sort_values(["t", "pos"]).reset_index(drop=True)
-        v, t = pdf["vel"].to_numpy(float), pdf["t"].to_numpy(float)
-        filled = np.where(np.isfinite(v), v, -np.inf)
-        inner = np.r_[False, (filled[1:-1] >= filled[:-2]) & (filled[1:-1] >= filled[2:]), False][: len(v)] if len(v) > 2 else np.zeros(len(v), bool)
-        taken: list[int] = []
-        for i in sorted(np.flatnonzero(inner & (filled > threshold)).tolist(), key=lambda i: (-filled[i], i)):
-            if taken:
-                gap = np.abs(t[taken] - t[i])
-                if gap.min() < apart or (gap <= 0.5).sum() >= most:
-                    continue
-            taken.append(i)
-        out, above = np.zeros(len(v), bool), filled > threshold
-        for i in taken:
-            a = b = i
-            while a > 0 and above[a - 1]:
-                a -= 1
-            while b < len(v) - 1 and above[b + 1]:
-                b += 1
-            out[a : b + 1] = True
-        pdf[name] = out
-        return pdf[[*names, name]]
-
-    return df.groupBy(*keys).applyInPandas(vote, T.StructType([*df.schema.fields, T.StructField(name, T.BooleanType())]))
+def peaks_taken(t: np.ndarray, v: np.ndarray, threshold: float, apart: float, most: int) -> np.ndarray:
+    """True around the fastest local peaks above a threshold, taken greedily by speed, at least `apart` in time from those taken and with at most
+    `most` of those within half a second, and grown while the speed stays above the threshold. Missing speeds are below it."""
+    filled = np.where(np.isfinite(v), v, -np.inf)
+    inner = np.zeros(len(v), bool)
+    if len(v) > 2:
+        inner[1:-1] = (filled[1:-1] >= filled[:-2]) & (filled[1:-1] >= filled[2:])
+    taken: list[float] = []  # times in order
+    out, above = np.zeros(len(v), bool), filled > threshold
+    edge = np.flatnonzero(np.diff(above.astype(np.int8), prepend=0, append=0))
+    for i in sorted(np.flatnonzero(inner & above).tolist(), key=lambda i: (-filled[i], i)):
+        at = bisect_left(taken, t[i])
+        if any(abs(x - t[i]) < apart for x in taken[max(0, at - 1) : at + 1]):
+            continue
+        if bisect_right(taken, t[i] + 0.5) - bisect_left(taken, t[i] - 0.5) >= most:
+            continue
+        taken.insert(at, float(t[i]))
+        run = int(np.searchsorted(edge, i, "right")) - 1
+        out[edge[run] : edge[run + 1]] = True
+    return out
+
+
+def om_votes(df: DataFrame, threshold: float, apart: float, most: int, axis: Axis = SERIES, name: str = "om") -> DataFrame:
+    """Adds peaks_taken(). What is taken depends on what was, so a series is one Arrow task; rows pass through. Needs vel."""
+
+    def vote(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([(c, "ascending") for c in axis.order])
+        flags = peaks_taken(rows[axis.time].to_numpy().astype(float), rows["vel"].to_numpy().astype(float), threshold, apart, most)
+        return rows.append_column(name, pa.array(flags))
+
+    return df.groupBy(*axis.keys).applyInArrow(vote, T.StructType([*df.schema.fields, T.StructField(name, T.BooleanType())]))
 
 
 def consensus(df: DataFrame, votes: list[str], gap: int, least: int, axis: Axis = SERIES, name: str = "sacc") -> DataFrame:
@@ -123,9 +125,33 @@ def bad_labels(df: DataFrame, value: str, width: float, c_median: float, c_mad:
     df = df.withColumn("_m", F.expr(f"percentile(_r, 0.5) OVER (PARTITION BY {keys})")).withColumn("_d", F.expr(f"percentile(abs(_r - _m), 0.5) OVER (PARTITION BY {keys})"))
     pre = F.col(value).isNull() | F.coalesce(F.col("_r") > c_median * F.col("_m") + c_mad * F.col("_d"), F.lit(False))
     df = runs.dilated(df, pre, k, axis, name="_pre").drop("_s", "_r", "_m", "_d")
-    df = runs.with_runs(df, "_pre", axis, name="run")
-    table = runs.without_orphans(runs.run_table(df.drop("run"), "_pre", axis), axis, orphan, bracket).select(*axis.keys, "run", "bad")
-    return df.join(table, [*axis.keys, "run"]).drop("run", "_pre")
+    return runs.orphans_taken_in(df, "_pre", orphan, bracket, axis, name="bad").drop("_pre")
+
+
+def event_clusters(events: DataFrame, features: list[str], ks: tuple[int, ...] = (2, 3, 4), *, components: int = 2, seed: int = 7) -> tuple[DataFrame, int]:
+    """events with pc (principal components of the standardised logarithms of positive features) and cluster (from 0, by k-means), and the number
+    of clusters of the best silhouette. Events that lack a feature, or hold one that isn't positive, have neither. Sums and distances run on
+    the executors; only centres come to the driver."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
+
+    fine = F.lit(True)
+    for c in features:
+        fine = fine & F.coalesce(F.col(c) > 0, F.lit(False))
+    df = events.select("*", *(F.log(c).alias(f"_log_{c}") for c in features)).withColumn("_fine", fine)
+    good = VectorAssembler(inputCols=[f"_log_{c}" for c in features], outputCol="_raw").transform(df.where("_fine"))
+    good = StandardScaler(inputCol="_raw", outputCol="_z", withMean=True, withStd=True).fit(good).transform(good)
+    good = PCA(k=min(components, len(features)), inputCol="_z", outputCol="pc").fit(good).transform(good)
+    best = None
+    for k in ks:
+        model = KMeans(k=k, seed=seed, featuresCol="pc", predictionCol="cluster").fit(good)
+        quality = ClusteringEvaluator(featuresCol="pc", predictionCol="cluster").evaluate(model.transform(good))
+        if best is None or quality > best[0]:
+            best = quality, k, model
+    drop = ["_raw", "_z", "_fine", *(f"_log_{c}" for c in features)]
+    out = best[2].transform(good).drop(*drop)
+    return out.unionByName(df.where("NOT _fine").drop(*drop), allowMissingColumns=True), best[1]
 
 
 @dataclass(frozen=True)
@@ -139,25 +165,44 @@ class EventParams:
     nh_start: float = 1e-3
     nh_factor: float = 3.0
     om_threshold: float = 5e-4
-    om_apart: float = 3600.0
+    om_apart: float = 0.03
+    om_most: int = 5
     gap: int = 1
     least: int = 2
     min_amplitude: float = 0.33
     margin: float = 0.0
 
 
+def saccades_and_blinks(df: DataFrame, flag: str, bad: str, x: str, y: str, axis: Axis = SERIES, *, vel: str = "vel") -> DataFrame:
+    """The events of events_of(flag, label SACC) and blink_events(bad) in one aggregation: label, times, end points, ampldva, pvel, avgvel. A sample
+    counts once for each kind that it belongs to."""
+    df = runs.with_runs(runs.with_runs(df, flag, axis, name="_rs"), bad, axis, name="_rb")
+    at = lambda k: F.struct(F.col(axis.time).alias("t"), F.col(x).alias("x"), F.col(y).alias("y")) if k == 0 else F.lag(F.struct(F.col(axis.time).alias("t"), F.col(x).alias("x"), F.col(y).alias("y")), k).over(axis.w)
+    df = df.withColumn("_own", at(0)).withColumn("_p1", at(1)).withColumn("_n1", at(-1)).withColumn("_n2", at(-2))
+    own = F.col("_own")
+    until = F.struct(F.coalesce(F.col("_n1.t"), own.t).alias("t"), own.x.alias("x"), own.y.alias("y"))
+    part = lambda label, run, a, b, v: F.struct(F.lit(label).alias("label"), F.col(run).alias("run"), a.alias("a"), b.alias("b"), v.alias("v"))
+    sacc = F.when(F.coalesce(F.col(flag), F.lit(False)), part("SACC", "_rs", own, until, F.col(vel)))
+    blink = F.when(F.coalesce(F.col(bad), F.lit(False)), part("BLNK", "_rb", F.coalesce("_p1", own), F.coalesce("_n2", "_n1", own), F.lit(None).cast("double")))
+    rows = df.select(*axis.keys, F.struct(*axis.order).alias("_o"), F.explode(F.filter(F.array(sacc, blink), lambda e: e.isNotNull())).alias("_e"))
+    g = rows.groupBy(*axis.keys, F.col("_e.label").alias("label"), F.col("_e.run").alias("run")).agg(F.count(F.lit(1)).alias("n"), F.min_by("_e.a", "_o").alias("a"), F.max_by("_e.b", "_o").alias("b"), F.max("_e.v").alias("pvel"), F.avg("_e.v").alias("avgvel"))
+    dx, dy = F.col("b.x") - F.col("a.x"), F.col("b.y") - F.col("a.y")
+    return g.where("label = 'BLNK' OR n > 1").select(*axis.keys, "label", F.col("a.t").alias("stsec"), F.col("b.t").alias("ensec"), F.col("a.x").alias("stx"), F.col("a.y").alias("sty"), F.col("b.x").alias("enx"), F.col("b.y").alias("eny"), F.sqrt(dx * dx + dy * dy).alias("ampldva"), "pvel", "avgvel")
+
+
 def samples_to_events(df: DataFrame, x: str, y: str, p: EventParams, axis: Axis = SERIES, *, velocity: Callable[..., DataFrame] = velocities, more_votes: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> DataFrame:
-    """Votes of two native detectors and of more_votes (each adds a boolean column of its name; velocity adds xvel, yvel, vel), their consensus, saccade-like events over a least amplitude, blinks, envelopes around blinks, and the
-    gaps between: label, stsec, ensec, dursec. Every step is a window over one partitioning of the samples."""
+    """Votes of three detectors and of more_votes (each adds a boolean column of its name; velocity adds xvel, yvel, vel), their consensus (two of
+    three), saccade-like events over a least amplitude, blinks, envelopes around blinks, and the gaps between: label, stsec,
+    ensec, dursec. The samples are read once and shuffled once, by the series' keys."""
     df = velocity(df, x, y, p.dt, p.half, axis)
     df = ek_votes(df, p.ek_factor, p.ek_least, axis)
-    df = nh_votes(df, p.nh_start, p.nh_factor, 6, axis)
+    df = nh_votes(df, p.nh_start, p.nh_factor, axis)
+    df = om_votes(df, p.om_threshold, p.om_apart, p.om_most, axis)
     for vote in (more_votes or {}).values():
         df = vote(df)
-    df = consensus(df, ["ek", "nh", *(more_votes or {})], p.gap, p.least, axis)
-    sacc = events_of(df, "sacc", x, y, F.lit("SACC"), axis).where(F.col("ampldva") > p.min_amplitude)
-    blink = blink_events(df.withColumn("_bad", F.col(x).isNull()), "_bad", x, y, axis)
-    both = sacc.select(*axis.keys, "label", "stsec", "ensec", "pvel", "avgvel").unionByName(blink.select(*axis.keys, "label", "stsec", "ensec"), allowMissingColumns=True)
+    df = consensus(df, ["ek", "nh", "om", *(more_votes or {})], p.gap, p.least, axis)
+    both = saccades_and_blinks(df.withColumn("_bad", F.col(x).isNull()), "sacc", "_bad", x, y, axis).where((F.col("label") == "BLNK") | (F.col("ampldva") > p.min_amplitude))
+    both = both.select(*axis.keys, "label", "stsec", "ensec", "pvel", "avgvel")
     merged = intervals.merge_envelope(both, list(axis.keys), p.margin, F.col("label") == "BLNK")
     # As intervals.complement(), but in one pass: each event brings the gap before it along.
     w = W.partitionBy(*axis.keys).orderBy("stsec", "ensec")

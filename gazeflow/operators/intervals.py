@@ -40,6 +40,21 @@ def merge_union(events: DataFrame, keys: list[str], gap: float) -> DataFrame:
     return e.groupBy(*keys, "grp").agg(F.min("stsec").alias("stsec"), F.max("ensec").alias("ensec"), F.max("pvel").alias("pvel"), F.count(F.lit(1)).alias("n")).drop("grp")
 
 
+def merge_saccades(events: DataFrame, keys: list[str], gap: float, *, starts: tuple[str, ...] = ("stx", "sty"), ends: tuple[str, ...] = ("enx", "eny")) -> DataFrame:
+    """Events whose label starts with SACC, at most gap apart, become one: start, end and end points of the first and last, ampldva, largest pvel, label
+    SACCBLNK if one of them is, else SACC. Single ones and other events stay as they are. Order: stsec, ensec, label."""
+    is_sacc = F.coalesce(F.upper("label").startswith("SACC"), F.lit(False))
+    e = overlap_groups(events.withColumn("_s", is_sacc), [*keys, "_s"], gap=gap)
+    e = e.withColumn("grp", F.when(F.col("_s"), F.col("grp")).otherwise(-F.monotonically_increasing_id() - 1))
+    order, many = F.struct("stsec", "ensec", "label"), F.count(F.lit(1)) > 1
+    g = e.groupBy(*keys, "grp").agg(
+        F.when(many, F.when(F.max(F.upper("label") == "SACCBLNK"), "SACCBLNK").otherwise("SACC")).otherwise(F.first("label")).alias("label"), F.min("stsec").alias("stsec"), F.max("ensec").alias("ensec"),
+        *(F.min_by(c, order).alias(c) for c in starts), *(F.max_by(c, order).alias(c) for c in ends), F.max("pvel").alias("pvel"), F.count(F.lit(1)).alias("n"),
+    )
+    far = F.sqrt(sum(((F.col(b) - F.col(a)) ** 2 for a, b in zip(starts, ends, strict=True)), F.lit(0.0)))
+    return g.drop("grp").withColumn("dursec", F.col("ensec") - F.col("stsec")).withColumn("ampldva", far)
+
+
 def intersect_groups(events: DataFrame, keys: list[str]) -> DataFrame:
     """Groups of overlapping events whose common part isn't empty: that part, largest pvel, mean avgvel, n. Others are left to
     intersect_recursive()."""
@@ -98,6 +113,29 @@ def bridge_merge(events: DataFrame, keys: list[str], max_isi: float) -> DataFram
     return e.groupBy(*keys, "grp").agg(F.min("stsec").alias("stsec"), F.max("ensec").alias("ensec"), label.alias("label"), F.count(F.lit(1)).alias("n")).drop("grp")
 
 
+def bridge_merge_chained(events: DataFrame, keys: list[str], *, max_isi: float, min_blink: float, max_amplitude: float) -> DataFrame:
+    """Blinks shorter than min_blink and smaller than max_amplitude count as ISIs. ISIs shorter than max_isi are bridges; bridges and their neighbours on
+    both sides are marked, and marked events in a row become one: start, end, end points, dxdva, dydva, ampldva, angle, largest pvel, mean
+    avgvel, n, and the label as in bridge_merge(). Order: stsec, ensec."""
+    w = W.partitionBy(*keys).orderBy("stsec", "ensec")
+    noise = (F.upper("label") == "BLNK") & (F.col("dursec") < min_blink) & (F.col("ampldva") < max_amplitude)
+    e = events.withColumn("label", F.when(F.coalesce(noise, F.lit(False)), "ISI").otherwise(F.upper("label")))
+    bridge = (F.col("label") == "ISI") & (F.col("dursec") < max_isi)
+    e = e.withColumn("_b", F.coalesce(bridge, F.lit(False)))
+    e = e.withColumn("_m", F.col("_b") | F.coalesce(F.lag("_b").over(w), F.lit(False)) | F.coalesce(F.lead("_b").over(w), F.lit(False)))
+    e = e.withColumn("_new", (~(F.col("_m") & F.coalesce(F.lag("_m").over(w), F.lit(False)))).cast("int"))
+    e = e.withColumn("grp", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    has = lambda x: F.max(F.col("label") == x)
+    label = F.when(has("SACC") & has("BLNK"), "SACCBLNK").when(has("BLNK"), "BLNK").when(has("SACC"), "SACC").otherwise(F.coalesce(F.min(F.when(F.col("label") != "ISI", F.col("label"))), F.lit("ISI")))
+    order = F.struct("stsec", "ensec")
+    g = e.groupBy(*keys, "grp").agg(
+        F.min("stsec").alias("stsec"), F.max("ensec").alias("ensec"), *(F.min_by(c, order).alias(c) for c in ("stx", "sty")), *(F.max_by(c, order).alias(c) for c in ("enx", "eny")),
+        F.max("pvel").alias("pvel"), F.avg("avgvel").alias("avgvel"), label.alias("label"), F.count(F.lit(1)).alias("n"),
+    )
+    g = g.drop("grp").withColumn("dxdva", F.col("enx") - F.col("stx")).withColumn("dydva", F.col("eny") - F.col("sty"))
+    return g.withColumn("ampldva", F.sqrt(F.col("dxdva") ** 2 + F.col("dydva") ** 2)).withColumn("angle", F.degrees(F.atan2("dydva", "dxdva"))).withColumn("dursec", F.col("ensec") - F.col("stsec"))
+
+
 def pair_markers(markers: DataFrame, keys: list[str], *, time: str = "t", tiebreak: str = "pos") -> DataFrame:
     """markers: mark in S, E, A. Of successive starts (or ends) the first counts; a start without an end goes; the i-th start has the i-th end;
     pairs that end in A are aborted and go."""
@@ -110,17 +148,18 @@ def pair_markers(markers: DataFrame, keys: list[str], *, time: str = "t", tiebre
 
 
 def range_flags(samples: DataFrame, events: DataFrame, keys: list[str], width: float, *, closed: bool = True) -> DataFrame:
-    """samples with n_events and last_label of the events that hold their time. Events are dealt to time buckets of width, so the join is an
+    """samples, each row one of its own, with n_events and last_label of the events that hold their time. Events are dealt to time buckets of width, so the join is an
     equi-join on (keys, bucket), however long a series is; the predicate is checked again inside."""
     b = F.explode(F.sequence(F.floor(F.col("stsec") / width), F.floor(F.col("ensec") / width))).alias("_b")
     e = events.select(*(F.col(k).alias(f"_{k}") for k in keys), "stsec", "ensec", "label", b)
-    s = samples.withColumn("_sb", F.floor(F.col("t") / width))
+    s = samples.withColumn("_sb", F.floor(F.col("t") / width)).withColumn("_row", F.monotonically_increasing_id())
     on = F.col("_sb") == F.col("_b")
     for k in keys:
         on = on & (F.col(k) == F.col(f"_{k}"))
     on = on & (F.col("t") >= F.col("stsec")) & (F.col("t") <= F.col("ensec") if closed else F.col("t") < F.col("ensec"))
     joined = s.join(e, on, "left")
-    return joined.groupBy(*samples.columns).agg(F.count("stsec").alias("n_events"), F.max_by("label", F.struct("stsec", "ensec")).alias("last_label"))
+    rows = joined.groupBy("_row", *samples.columns).agg(F.count("stsec").alias("n_events"), F.max_by("label", F.struct("stsec", "ensec")).alias("last_label"))
+    return rows.drop("_row")
 
 
 def overlap_clip(left: DataFrame, right: DataFrame, keys: list[str], width: float) -> DataFrame:
@@ -131,3 +170,11 @@ def overlap_clip(left: DataFrame, right: DataFrame, keys: list[str], width: floa
     both = left.select("*", lb).join(right.select("*", rb), [*keys, "_b"])
     both = both.where((F.col("l_st") < F.col("r_en")) & (F.col("l_en") > F.col("r_st"))).withColumn("st", F.greatest("l_st", "r_st")).withColumn("en", F.least("l_en", "r_en"))
     return both.where(F.floor(F.col("st") / width) == F.col("_b")).drop("_b")
+
+
+def within_periods(events: DataFrame, periods: DataFrame, keys: list[str], width: float) -> DataFrame:
+    """events with the columns of each stated period (keys, p_st, p_en and others) that holds them whole: p_st <= stsec and ensec <= p_en. Periods
+    are dealt to time buckets, an event looks in that of its start: an equi-join on (keys, bucket)."""
+    b = F.explode(F.sequence(F.floor(F.col("p_st") / width), F.floor(F.col("p_en") / width))).alias("_b")
+    both = events.withColumn("_b", F.floor(F.col("stsec") / width)).join(periods.select("*", b), [*keys, "_b"])
+    return both.where((F.col("p_st") <= F.col("stsec")) & (F.col("ensec") <= F.col("p_en"))).drop("_b")

@@ -1,15 +1,14 @@
-"""Kernels whose next value depends on the last: a series is one Arrow task. Long recordings part at their gaps first (split_at_gaps())."""
+"""Kernels whose next value depends on the last: a series is one Arrow task. A recording of hours is some 10^7 rows of a few columns; where kernels may
+start anew after a gap, split_at_gaps() makes its stretches series of their own, which classifier_events(gap=) does."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from gazeflow.series import Axis
 
@@ -20,20 +19,6 @@ def split_at_gaps(df: DataFrame, axis: Axis, gap: float, name: str = "part") ->
     return df.withColumn("_new", new).withColumn(name, F.sum("_new").over(axis.rows(None, 0))).drop("_new")
 
 
-def per_series(df: DataFrame, axis: Axis, added: dict[str, str], f: Callable[[pd.DataFrame], dict[str, np.ndarray]]) -> DataFrame:
-    """df with columns that f makes of each ordered series."""
-    names = df.columns
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(axis.order).reset_index(drop=True)
-        for name, values in f(pdf).items():
-            pdf[name] = values
-        return pdf[[*names, *added]]
-
-    fields = [*df.schema.fields, *(T.StructField(n, T._parse_datatype_string(k)) for n, k in added.items())]
-    return df.groupBy(*axis.keys).applyInPandas(run, T.StructType(fields))
-
-
 def quadratic_spline(t: np.ndarray, v: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Values at points of the spline of degree 2 through (t, v): knots half-way between samples, one matrix with three bands and more at the ends."""
     n = len(t)
@@ -245,8 +230,11 @@ def _fix_or_pursuit(x: np.ndarray, y: np.ndarray, at: int, p: ClassifierParams)
     return [(label, a + at, b + at) for label, a, b in out]
 
 
-def classifier_events(df: DataFrame, axis: Axis, p: ClassifierParams, *, x: str = "x", y: str = "y", vel: str = "vel") -> DataFrame:
-    """keys, label, stsec, ensec, stx, sty, enx, eny, ampldva, pvel, avgvel of each classified interval. Speeds are of the interval's own samples."""
+def classifier_events(df: DataFrame, axis: Axis, p: ClassifierParams, *, x: str = "x", y: str = "y", vel: str = "vel", gap: float | None = None) -> DataFrame:
+    """Stretches without a step over gap are classified on their own, in tasks of their own. keys, label, stsec, ensec, stx, sty, enx, eny, ampldva, pvel, avgvel of each classified interval. Speeds are of the interval's own samples."""
+    if gap is not None:
+        parted = Axis((*axis.keys, "_part"), axis.time, axis.tiebreak)
+        return classifier_events(split_at_gaps(df, axis, gap, "_part"), parted, p, x=x, y=y, vel=vel).drop("_part")
     kinds = dict(df.dtypes)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -266,51 +254,66 @@ def classifier_events(df: DataFrame, axis: Axis, p: ClassifierParams, *, x: str
     return df.select(*axis.keys, *dict.fromkeys([*axis.order, x, y, vel])).groupBy(*axis.keys).applyInPandas(run, schema)
 
 
-def attitude(df: DataFrame, axis: Axis, *, gain: float = 0.1) -> DataFrame:
-    """Adds roll, pitch, yaw in degrees from gyrx..z (deg/s) and accx..z (g) by the gradient-descent orientation filter of Madgwick (2010). Rows with a missing
-    input have nulls and the filter goes on after them."""
-
-    def run(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
-        t = pdf[axis.time].to_numpy(float)
-        gyro = np.radians(pdf[["gyrx", "gyry", "gyrz"]].to_numpy(float))
-        acc = pdf[["accx", "accy", "accz"]].to_numpy(float)
+def orientation_step(q: np.ndarray, bias: np.ndarray, gyro: np.ndarray, acc: np.ndarray, mag: np.ndarray | None, dt: float, gain: float, bias_gain: float) -> tuple[np.ndarray, np.ndarray]:
+    """The next orientation (w, x, y, z) and gyroscope bias by the gradient-descent filter of Madgwick (2010). gyro: rad/s; acc, mag: any unit, a length
+    of 0 doesn't correct; without bias_gain the bias stays."""
+    w, x, y, z = q
+    residuals, slopes = [], []
+    size = np.linalg.norm(acc)
+    if size > 0:
+        residuals += list(np.array([2 * (x * z - w * y), 2 * (w * x + y * z), 2 * (0.5 - x * x - y * y)]) - acc / size)
+        slopes += [[-2 * y, 2 * z, -2 * w, 2 * x], [2 * x, 2 * w, 2 * z, 2 * y], [0, -4 * x, -4 * y, 0]]
+    if mag is not None and (size := np.linalg.norm(mag)) > 0:
+        turn = np.array([[1 - 2 * (y * y + z * z), 2 * (x * y - w * z), 2 * (x * z + w * y)], [2 * (x * y + w * z), 1 - 2 * (x * x + z * z), 2 * (y * z - w * x)], [2 * (x * z - w * y), 2 * (y * z + w * x), 1 - 2 * (x * x + y * y)]])
+        field = turn @ (mag / size)
+        bx, bz = np.hypot(field[0], field[1]), field[2]  # the earth's field in the horizontal north and down
+        residuals += list(np.array([2 * bx * (0.5 - y * y - z * z) + 2 * bz * (x * z - w * y), 2 * bx * (x * y - w * z) + 2 * bz * (w * x + y * z), 2 * bx * (w * y + x * z) + 2 * bz * (0.5 - x * x - y * y)]) - mag / size)
+        slopes += [[-2 * bz * y, 2 * bz * z, -4 * bx * y - 2 * bz * w, -4 * bx * z + 2 * bz * x], [-2 * bx * z + 2 * bz * x, 2 * bx * y + 2 * bz * w, 2 * bx * x + 2 * bz * z, -2 * bx * w + 2 * bz * y], [2 * bx * y, 2 * bx * z - 4 * bz * x, 2 * bx * w - 4 * bz * y, 2 * bx * x]]
+    down = np.zeros(4)
+    if residuals:
+        down = np.array(slopes).T @ np.array(residuals)
+        size = np.linalg.norm(down)
+        down = down / size if size > 0 else down
+    if bias_gain:
+        # The error's direction as an angular rate: twice the conjugate orientation times the gradient.
+        e = down
+        bias = bias + bias_gain * dt * 2 * np.array([w * e[1] - x * e[0] - y * e[3] + z * e[2], w * e[2] + x * e[3] - y * e[0] - z * e[1], w * e[3] - x * e[2] + y * e[1] - z * e[0]])
+    gx, gy, gz = gyro - bias
+    rate = 0.5 * np.array([-x * gx - y * gy - z * gz, w * gx + y * gz - z * gy, w * gy - x * gz + z * gx, w * gz + x * gy - y * gx]) - gain * down
+    q = q + rate * dt
+    return q / np.linalg.norm(q), bias
+
+
+def attitude(df: DataFrame, axis: Axis, *, gain: float = 0.1, magnetometer: bool = False, bias_gain: float = 0.0, burn_in: float = 0.0, burn_in_rate: float = 100.0, acc_unit: float = 1.0) -> DataFrame:
+    """Adds roll, pitch, yaw in degrees from gyrx..z (deg/s), accx..z (in units of acc_unit g) and, with magnetometer, magx..z, by orientation_step(). Rows with a
+    missing input have nulls and the filter goes on after them; a missing field only leaves that correction out. burn_in: seconds for which the first
+    whole sample is held, without turning, before the series starts."""
+    inputs = ["gyrx", "gyry", "gyrz", "accx", "accy", "accz", *(["magx", "magy", "magz"] if magnetometer else [])]
+
+    def run(c: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        t = c[axis.time]
+        gyro, acc = np.radians(np.stack([c[n] for n in inputs[:3]], 1)), np.stack([c[n] for n in inputs[3:6]], 1) * acc_unit
+        mag = np.stack([c[n] for n in inputs[6:]], 1) if magnetometer else None
         out = np.full((len(t), 3), np.nan)
-        q, last = np.array([1.0, 0.0, 0.0, 0.0]), None
-        for i in range(len(t)):
-            if not (np.isfinite(gyro[i]).all() and np.isfinite(acc[i]).all()):
-                continue
-            dt = 0.0 if last is None else t[i] - last
+        q, bias, last = np.array([1.0, 0.0, 0.0, 0.0]), np.zeros(3), None
+        for i in np.flatnonzero(np.isfinite(gyro).all(axis=1) & np.isfinite(acc).all(axis=1)).tolist():
+            field = mag[i] if mag is not None and np.isfinite(mag[i]).all() else None
+            if last is None:
+                for _ in range(int(burn_in * burn_in_rate)):
+                    q, _ = orientation_step(q, bias, np.zeros(3), acc[i], field, 1 / burn_in_rate, gain, 0.0)
+            q, bias = orientation_step(q, bias, gyro[i], acc[i], field, 0.0 if last is None else t[i] - last, gain, bias_gain)
             last = t[i]
             w, x, y, z = q
-            gx, gy, gz = gyro[i]
-            rate = 0.5 * np.array([-x * gx - y * gy - z * gz, w * gx + y * gz - z * gy, w * gy - x * gz + z * gx, w * gz + x * gy - y * gx])
-            norm = np.linalg.norm(acc[i])
-            if norm > 0:
-                ax, ay, az = acc[i] / norm
-                f = np.array([2 * (x * z - w * y) - ax, 2 * (w * x + y * z) - ay, 2 * (0.5 - x * x - y * y) - az])
-                jac = np.array([[-2 * y, 2 * z, -2 * w, 2 * x], [2 * x, 2 * w, 2 * z, 2 * y], [0, -4 * x, -4 * y, 0]])
-                g = jac.T @ f
-                size = np.linalg.norm(g)
-                rate -= gain * (g / size if size > 0 else g)
-            q = q + rate * dt
-            q /= np.linalg.norm(q)
-            w, x, y, z = q
             out[i] = np.degrees([np.arctan2(2 * (w * x + y * z), 1 - 2 * (x * x + y * y)), np.arcsin(np.clip(2 * (w * y - z * x), -1, 1)), np.arctan2(2 * (w * z + x * y), 1 - 2 * (y * y + z * z))])
         return {"roll": out[:, 0], "pitch": out[:, 1], "yaw": out[:, 2]}
 
-    return per_series(df, axis, {"roll": "double", "pitch": "double", "yaw": "double"}, run)
+    from gazeflow.operators import traces
+
+    return traces.arrow_columns(df, axis, ["roll", "pitch", "yaw"], run, [axis.time, *inputs])
 
 
 def spike_filter(df: DataFrame, axis: Axis, value: str, name: str) -> DataFrame:
-    """As cleaning.spike_filter(), in linear time and memory: for long series."""
-
-    def run(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
-        v = pdf[value].to_numpy(float).tolist()
-        for i in range(1, len(v) - 1):
-            a, b, c = v[i - 1], v[i], v[i + 1]
-            if (b > a and b > c) or (b < a and b < c):  # false next to a missing value
-                v[i] = a if abs(b - a) < abs(b - c) else c
-        return {name: np.array(v, float)}
-
-    out = per_series(df, axis, {name: "double"}, run)
-    return out.withColumn(name, F.nanvl(name, F.lit(None).cast("double")))
+    """traces.without_spikes() as a column."""
+    from gazeflow.operators import traces
+
+    return traces.arrow_columns(df, axis, [name], lambda c: {name: traces.without_spikes(c[value])}, [value])

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,26 +72,60 @@ def median_sigma(df: DataFrame, value: str, axis: Axis = SERIES) -> DataFrame:
     return g.select(*axis.keys, F.when(by_median < 1e-8, by_mean).otherwise(by_median).alias("sigma"))
 
 
-def adaptive_threshold(df: DataFrame, value: str, start: float, c: float, rounds: int, axis: Axis = SERIES, *, robust: bool = True) -> DataFrame:
-    """Per series: threshold, onset, by rounds of centre + factor * spread of the values below the threshold until it moves by 1 at most.
-    robust: median and normal-scaled MAD, factor 2 c, onset factor c; otherwise mean and population sigma, factor c, onset factor 3.
-
-    The rounds are unrolled into one plan: each is a window over the same partitioning, so the samples are shuffled once."""
-    keys = ", ".join(axis.keys)
-    df = df.select(*axis.keys, F.col(value).alias("_v")).withColumn("thr", F.lit(float(start))).withColumn("done", F.lit(False)).withColumn("onset", F.lit(None).cast("double"))
-    for _ in range(rounds):
-        df = df.withColumn("_b", F.when(F.col("_v") < F.col("thr"), F.col("_v")))
-        if robust:
-            df = df.withColumn("_c", F.expr(f"percentile(_b, 0.5) OVER (PARTITION BY {keys})"))
-            df = df.withColumn("_s", F.expr(f"percentile(abs(_b - _c), 0.5) OVER (PARTITION BY {keys})") * 1.482602218505602)
-            new, onset = F.col("_c") + 2 * c * F.col("_s"), F.col("_c") + c * F.col("_s")
-        else:
-            df = df.withColumn("_c", F.avg("_b").over(axis.whole)).withColumn("_s", F.stddev_pop("_b").over(axis.whole))
-            new, onset = F.col("_c") + c * F.col("_s"), F.col("_c") + 3 * F.col("_s")
-        new = F.when(F.col("done") | new.isNull() | (new == 0), F.col("thr")).otherwise(new)
-        onset = F.when(F.col("done"), F.col("onset")).otherwise(onset)
-        df = df.select(*axis.keys, "_v", new.alias("thr"), (F.col("done") | (F.abs(new - F.col("thr")) <= 1)).alias("done"), onset.alias("onset"))
-    return df.groupBy(*axis.keys).agg(F.first("thr").alias("threshold"), F.first("onset").alias("onset"))
+#: Rounds after which the median form ends as it is, converged or not.
+MEDIAN_ROUNDS = 30
+
+
+def threshold_of(v: np.ndarray, start: float, c: float, *, robust: bool = True) -> tuple[float, float]:
+    """Threshold and onset of some speeds (missing ones don't count), by rounds of centre + factor * spread of those below the threshold
+    until it moves by 1 at most. robust: median and normal-scaled MAD, factor 2 c, onset factor c, MEDIAN_ROUNDS at most; otherwise
+    mean and population sigma, factor c, onset factor 3, without a limit (an error where thresholds come back in a cycle). Nothing
+    below the threshold: it stays, and the onset is missing. A new threshold of 0 doesn't count."""
+    v = v[np.isfinite(v)]
+    threshold, seen = start, set()
+    for n in count(1):
+        below = v[v < threshold]
+        centre = spread = np.nan
+        if len(below):
+            centre = float(np.median(below) if robust else below.mean())
+            spread = float(np.median(np.abs(below - centre)) * 1.482602218505602 if robust else below.std())
+        new, onset = centre + (2 * c if robust else c) * spread, centre + (c if robust else 3) * spread
+        moved = 0.0 if not new else abs(new - threshold)
+        seen.add(threshold)
+        if new and np.isfinite(new):
+            threshold = new
+        if not moved > 1 or (robust and n == MEDIAN_ROUNDS):
+            return threshold, onset
+        if not robust and threshold in seen:
+            raise ValueError(f"thresholds go round in a cycle at {threshold}")
+    raise AssertionError
+
+
+def adaptive_threshold(df: DataFrame, value: str, start: float, c: float, axis: Axis = SERIES, *, robust: bool = True) -> DataFrame:
+    """Per series: threshold, onset, as threshold_of(). One shuffle of the one column; the rounds run on a series' array."""
+
+    def one(rows: pa.Table) -> pa.Table:
+        found = threshold_of(rows[value].to_numpy().astype(float), start, c, robust=robust)
+        numbers = [pa.array([x], pa.float64(), from_pandas=True) for x in found]
+        return pa.Table.from_arrays([*(rows[k].slice(0, 1).combine_chunks() for k in axis.keys), *numbers], [*axis.keys, "threshold", "onset"])
+
+    kinds = dict(df.dtypes)
+    schema = ", ".join([f"{k} {kinds[k]}" for k in axis.keys] + ["threshold double, onset double"])
+    return df.select(*axis.keys, F.col(value).cast("double").alias(value)).groupBy(*axis.keys).applyInArrow(one, schema)
+
+
+def with_threshold(df: DataFrame, value: str, start: float, c: float, axis: Axis = SERIES, *, robust: bool = True) -> DataFrame:
+    """df with threshold and onset of the row's series, as threshold_of(): the rows pass through, so df isn't read twice and a
+    partitioning by the series stays."""
+    from pyspark.sql import types as T
+
+    def each(rows: pa.Table) -> pa.Table:
+        found = threshold_of(rows[value].to_numpy().astype(float), start, c, robust=robust)
+        for name, x in zip(("threshold", "onset"), found, strict=True):
+            rows = rows.append_column(name, pa.array(np.full(len(rows), x), pa.float64(), from_pandas=True))
+        return rows
+
+    return df.groupBy(*axis.keys).applyInArrow(each, T.StructType([*df.schema.fields, T.StructField("threshold", T.DoubleType()), T.StructField("onset", T.DoubleType())]))
 
 
 def null_insane(df: DataFrame, columns: list[str], speed: str, acceleration: str, most_speed: float, most_acceleration: float, k: int, axis: Axis = SERIES) -> DataFrame:

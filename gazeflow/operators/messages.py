@@ -47,11 +47,33 @@ def gaze_coords(messages: DataFrame) -> DataFrame:
     return x.select(*[c for c in x.columns if c not in ("tokens", "tag", "body", "message")], *(F.get("tokens", F.lit(i)).try_cast("double").alias(n) for i, n in enumerate(("left", "top", "right", "bottom"))))
 
 
-def trials(messages: DataFrame, keys: list[str], *, keep_aborted: bool = False) -> DataFrame:
+def eye_used(messages: DataFrame, keys: list[str]) -> DataFrame:
+    """Per series: eye_index, eye_mode of the first EYE_USED message."""
+    x = tag_lists(messages, "EYE_USED").groupBy(*keys).agg(F.min_by("tokens", "t").alias("tokens"))
+    return x.select(*keys, F.get("tokens", F.lit(0)).alias("eye_index"), F.get("tokens", F.lit(1)).alias("eye_mode"))
+
+
+def session_info(messages: DataFrame, keys: list[str]) -> DataFrame:
+    """Per series: info, a map of the parameters of SCREEN, VB, SESSION S, RECCFG, GAZE_COORDS and EYE_USED messages. Two sources of one name fail."""
+    texts = lambda names: F.map_filter(F.create_map(*(y for n in names for y in (F.lit(n), F.col(n).cast("string")))), lambda _, v: v.isNotNull())
+    first = lambda df, names: df.groupBy(*keys).agg(*(F.min_by(n, "t").alias(n) for n in names)).select(*keys, texts(names).alias("params"))
+    parts = [tag_params(messages, t, keys) for t in ("SCREEN", "VB")] + [tag_params(messages, "SESSION", keys, first="S")]
+    parts += [first(recording_config(messages), ["mode", "rate", "file_filter", "link_filter", "eyes"]), first(gaze_coords(messages), ["left", "top", "right", "bottom"])]
+    parts.append(eye_used(messages, keys).select(*keys, texts(["eye_index", "eye_mode"]).alias("params")))
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    one = every.select(*keys, F.explode(F.map_entries("params")).alias("e")).groupBy(*keys, F.col("e.key").alias("k")).agg(F.count(F.lit(1)).alias("n"), F.first("e.value").alias("v"))
+    value = F.when(F.col("n") > 1, F.raise_error(F.concat(F.lit("overwritten: "), F.col("k")))).otherwise(F.col("v"))
+    return one.select(*keys, "k", value.alias("v")).groupBy(*keys).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "v")))).alias("info"))
+
+
+def trials(messages: DataFrame, keys: list[str], *, keep_aborted: bool = False, tiebreak: tuple[str, ...] = ("pos", "message")) -> DataFrame:
     """Trials from VID messages `S name KEY=VALUE ...` and `E name` (or `A name`): start, end, video, params, is_abort, trial (from 0). Of successive
     starts the first counts, of successive ends the first; a last start without an end goes; a video that ends under another name
-    fails; aborted trials go unless kept."""
-    w = W.partitionBy(*keys).orderBy("t")
+    fails; aborted trials go unless kept. Where times are equal, those of the tiebreak columns that
+    there are give the order."""
+    w = W.partitionBy(*keys).orderBy("t", *(c for c in tiebreak if c in messages.columns))
     m = tag_lists(messages, "VID").withColumn("kind", F.get("tokens", F.lit(0))).withColumn("video", F.get("tokens", F.lit(1)))
     m = m.withColumn("_k", F.when(F.col("kind") == "S", "S").otherwise("E")).withColumn("_p", F.lag("_k").over(w)).where("_p IS NULL OR _p <> _k").where("NOT (_p IS NULL AND _k = 'E')")
     m = m.withColumn("end", F.lead("t").over(w)).withColumn("_ek", F.lead("kind").over(w)).withColumn("_ev", F.lead("video").over(w)).where("_k = 'S' AND end IS NOT NULL")
@@ -62,10 +84,10 @@ def trials(messages: DataFrame, keys: list[str], *, keep_aborted: bool = False)
     return m.select(*keys, F.col("t").alias("start"), "end", "video", tag_map(rest).alias("params"), "is_abort", (F.row_number().over(w) - 1).cast("long").alias("trial"))
 
 
-def blocks(messages: DataFrame, ends: DataFrame, keys: list[str], *, before: float = 0.02) -> DataFrame:
+def blocks(messages: DataFrame, ends: DataFrame, keys: list[str], *, before: float = 0.02, tiebreak: tuple[str, ...] = ("pos", "message")) -> DataFrame:
     """Blocks from BLK messages `S kind ...`, `E`, `A` (as E): start, end, kind, block. A block without an end gets one `before` its successor's start, the
     last one at the series' last sample (ends: keys, last)."""
-    w = W.partitionBy(*keys).orderBy("t")
+    w = W.partitionBy(*keys).orderBy("t", *(c for c in tiebreak if c in messages.columns))
     m = tag_lists(messages, "BLK").withColumn("_k", F.when(F.get("tokens", F.lit(0)) == "S", "S").otherwise("E"))
     m = m.withColumn("_nk", F.lead("_k").over(w)).withColumn("_nt", F.lead("t").over(w)).where("_k = 'S'").join(ends, keys, "left")
     end = F.when(F.col("_nk") == "E", F.col("_nt")).when(F.col("_nk") == "S", F.col("_nt") - before).otherwise(F.col("last"))

@@ -99,6 +99,21 @@ def without_orphans(runs: DataFrame, axis: Axis, most: float, bracket: float) ->
     return runs.withColumn("bad", F.col("v") | ((F.col("lent") < most) & alone))
 
 
+def orphans_taken_in(df: DataFrame, flag: str, most: float, bracket: float, axis: Axis = SERIES, name: str = "bad") -> DataFrame:
+    """As without_orphans(), on samples: adds flag, or true in false runs shorter than most that are first, last or between two runs of at
+    least bracket. Windows over the series' partitioning only."""
+    df = with_runs(df, flag, axis, name="_run")
+    own = W.partitionBy(*axis.keys, "_run")
+    df = df.withColumn("_next", F.lead(axis.time).over(axis.w)).withColumn("_first", ~F.coalesce(F.lag("_run").over(axis.w) == F.col("_run"), F.lit(False)))
+    df = df.withColumn("_last", ~F.coalesce(F.lead("_run").over(axis.w) == F.col("_run"), F.lit(False)))
+    end = F.max(F.when(F.col("_last"), F.coalesce("_next", F.col(axis.time)))).over(own)
+    df = df.withColumn("_lent", end - F.min(axis.time).over(own))
+    df = df.withColumn("_b", F.when(F.col("_first"), F.lag("_lent").over(axis.w))).withColumn("_a", F.when(F.col("_last"), F.lead("_lent").over(axis.w)))
+    df = df.withColumn("_b", F.max("_b").over(own)).withColumn("_a", F.max("_a").over(own))
+    alone = F.col("_b").isNull() | F.col("_a").isNull() | ((F.col("_b") >= bracket) & (F.col("_a") >= bracket))
+    return df.withColumn(name, F.col(flag) | ((F.col("_lent") < most) & alone)).drop("_run", "_next", "_first", "_last", "_lent", "_b", "_a")
+
+
 def touching_missing(df: DataFrame, flag: str, value: str, axis: Axis = SERIES, name: str = "clear") -> DataFrame:
     """True runs next to a sample whose value is missing become false."""
     df = with_runs(df, flag, axis, name="_run")

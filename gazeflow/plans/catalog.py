@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import q_events, q_kernels, q_series, q_study
+from . import q_events, q_kernels, q_more, q_series, q_study
 
-_MODULES = (q_series, q_events, q_study, q_kernels)
+_MODULES = (q_series, q_events, q_study, q_kernels, q_more)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

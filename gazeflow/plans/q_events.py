@@ -82,27 +82,31 @@ def zscore_by_series(spark, d):
     return samples(spark, d).select("event_id", r6((F.col("v") - F.avg("v").over(w)) / F.stddev_samp("v").over(w)).alias("z"))
 
 
-def _adaptive(src, rounds, start, c, robust):
-    out = [f"T0 AS (SELECT DISTINCT series, {start}::DOUBLE AS thr, false AS done, NULL::DOUBLE AS onset FROM {src})"]
-    for k in range(rounds):
+#: Rounds that the SQL unrolls; the median form ends with the 30th, and the mean form has converged by then on these tables.
+_ROUNDS = 30
+
+
+def _adaptive(src, start, c, robust):
+    out = [f"T0 AS MATERIALIZED (SELECT DISTINCT series, {start}::DOUBLE AS thr, false AS done, NULL::DOUBLE AS onset FROM {src})"]
+    for k in range(_ROUNDS):
         mid, spread = ("median(v)", "median(abs(v - c)) * 1.482602218505602") if robust else ("avg(v)", "stddev_pop(v)")
-        out.append(f"B{k} AS (SELECT series, val AS v FROM {src} JOIN T{k} USING (series) WHERE val < thr)")
-        out.append(f"C{k} AS (SELECT series, {mid} AS c FROM B{k} GROUP BY series)")
-        out.append(f"S{k} AS (SELECT series, any_value(c) AS c, {spread} AS s FROM B{k} JOIN C{k} USING (series) GROUP BY series)")
+        out.append(f"B{k} AS MATERIALIZED (SELECT series, val AS v FROM {src} JOIN T{k} USING (series) WHERE val < thr)")
+        out.append(f"C{k} AS MATERIALIZED (SELECT series, {mid} AS c FROM B{k} GROUP BY series)")
+        out.append(f"S{k} AS MATERIALIZED (SELECT series, any_value(c) AS c, {spread} AS s FROM B{k} JOIN C{k} USING (series) GROUP BY series)")
         new, onset = (f"c + 2 * {c} * s", f"c + {c} * s") if robust else (f"c + {c} * s", "c + 3 * s")
-        out.append(f"T{k + 1} AS (SELECT series, CASE WHEN done OR {new} IS NULL OR {new} = 0 THEN thr ELSE {new} END AS thr, done OR abs(CASE WHEN done OR {new} IS NULL OR {new} = 0 THEN thr ELSE {new} END - thr) <= 1 AS done, CASE WHEN done THEN onset ELSE {onset} END AS onset FROM T{k} LEFT JOIN S{k} USING (series))")
+        out.append(f"T{k + 1} AS MATERIALIZED (SELECT series, CASE WHEN done OR {new} IS NULL OR {new} = 0 THEN thr ELSE {new} END AS thr, done OR abs(CASE WHEN done OR {new} IS NULL OR {new} = 0 THEN thr ELSE {new} END - thr) <= 1 AS done, CASE WHEN done THEN onset ELSE {onset} END AS onset FROM T{k} LEFT JOIN S{k} USING (series))")
     return ", ".join(out)
 
 
-@query("adaptive_threshold_mad", f"WITH {D}, X AS (SELECT series, v AS val FROM D), {_adaptive('X', 6, 200, 3, True)} SELECT series, round(thr, 4) AS threshold, round(onset, 4) AS onset FROM T6")
+@query("adaptive_threshold_mad", f"WITH {D}, X AS (SELECT series, v AS val FROM D), {_adaptive('X', 200, 3, True)} SELECT series, round(thr, 4) AS threshold, round(onset, 4) AS onset FROM T{_ROUNDS}")
 def adaptive_threshold_mad(spark, d):
-    a = kinematics.adaptive_threshold(samples(spark, d), "v", 200.0, 3.0, 6)
+    a = kinematics.adaptive_threshold(samples(spark, d), "v", 200.0, 3.0)
     return a.select("series", F.round("threshold", 4).alias("threshold"), F.round("onset", 4).alias("onset"))
 
 
-@query("adaptive_threshold_sigma", f"WITH {D}, X AS (SELECT series, v AS val FROM D), {_adaptive('X', 6, 200, 2, False)} SELECT series, round(thr, 4) AS threshold, round(onset, 4) AS onset FROM T6")
+@query("adaptive_threshold_sigma", f"WITH {D}, X AS (SELECT series, v AS val FROM D), {_adaptive('X', 200, 2, False)} SELECT series, round(thr, 4) AS threshold, round(onset, 4) AS onset FROM T{_ROUNDS}")
 def adaptive_threshold_sigma(spark, d):
-    a = kinematics.adaptive_threshold(samples(spark, d), "v", 200.0, 2.0, 6, robust=False)
+    a = kinematics.adaptive_threshold(samples(spark, d), "v", 200.0, 2.0, robust=False)
     return a.select("series", F.round("threshold", 4).alias("threshold"), F.round("onset", 4).alias("onset"))
 
 
@@ -129,12 +133,12 @@ def ek_votes(spark, d):
     return detect.ek_votes(detect.velocities(samples(spark, d), "x", "y", 0.25, 2), 1.0, 1).select("event_id", "ek")
 
 
-_NH = _EK + f", X AS (SELECT series, vel AS val FROM V), {_adaptive('X', 6, 400, 3, False)}, O AS (SELECT V.*, coalesce(vel > onset, false) AS o, coalesce(vel > thr, false) AS core FROM V JOIN T6 USING (series)), " + _rle("o", where="O").split(D + ", ", 1)[1] + ", H AS (SELECT series, run, bool_or(core) AS core FROM G GROUP BY ALL)"
+_NH = _EK + f", X AS (SELECT series, vel AS val FROM V), {_adaptive('X', 400, 3, False)}, O AS (SELECT V.*, coalesce(vel > onset, false) AS o, coalesce(vel > thr, false) AS core FROM V JOIN T{_ROUNDS} USING (series)), " + _rle("o", where="O").split(D + ", ", 1)[1] + ", H AS (SELECT series, run, bool_or(core) AS core FROM G GROUP BY ALL)"
 
 
 @query("nh_hysteresis", _NH + " SELECT event_id, G.val AND H.core AS nh FROM G JOIN H USING (series, run)")
 def nh_hysteresis(spark, d):
-    return detect.nh_votes(detect.velocities(samples(spark, d), "x", "y", 0.25, 2), 400.0, 3.0, 6).select("event_id", "nh")
+    return detect.nh_votes(detect.velocities(samples(spark, d), "x", "y", 0.25, 2), 400.0, 3.0).select("event_id", "nh")
 
 
 _VOTE = f"WITH {D}, C AS (SELECT *, ((v > 60)::INT + (k > 50)::INT + (lab IN ('click', 'view'))::INT) / 3.0 > 0.99 * 2 / 3.0 AS c FROM D), "
@@ -309,6 +313,12 @@ def sample_in_interval_flags(spark, d):
     return flagged.select("event_id", "n_events").join(top, "event_id")
 
 
+@query("repeated_samples_in_intervals", f"WITH {D}, {_ORD}, P AS (SELECT series, floor(t / 3600) * 3600 AS t, row_number() OVER () AS n FROM D) SELECT series, t, count(I.stsec) AS n_events FROM P LEFT JOIN I USING (series) WHERE I.stsec IS NULL OR (t >= stsec AND t <= ensec) GROUP BY series, t, n UNION ALL SELECT series, t, 0 FROM P WHERE EXISTS (SELECT 1 FROM I WHERE I.series = P.series) AND NOT EXISTS (SELECT 1 FROM I WHERE I.series = P.series AND P.t >= stsec AND P.t <= ensec)")
+def repeated_samples_in_intervals(spark, d):
+    s = samples(spark, d).select("series", (F.floor(F.col("t") / 3600) * 3600).cast("double").alias("t"))
+    return intervals.range_flags(s, _orders(spark, d).select("series", "stsec", "ensec", "label"), ["series"], 21600.0).select("series", "t", "n_events")
+
+
 @query("trial_in_block", _EV + ", T AS (SELECT series, stsec, ensec, floor(stsec / 604800)::BIGINT AS blk FROM E), K AS (SELECT * FROM T WHERE ensec < (blk + 1) * 604800) SELECT series, blk, round(stsec, 6) AS stsec, row_number() OVER (PARTITION BY series, blk ORDER BY stsec) - 1 AS trial FROM K")
 def trial_in_block(spark, d):
     e = _events(spark, d).withColumn("blk", F.floor(F.col("stsec") / 604800)).where(F.col("ensec") < (F.col("blk") + 1) * 604800)
@@ -326,10 +336,10 @@ def interval_overlap_clip(spark, d):
 @query("om_votes")
 def om_votes(spark, d):
     v = detect.velocities(samples(spark, d), "x", "y", 0.25, 2).select("series", "event_id", "t", "pos", "vel")
-    return detect.om_votes(v, 120.0, 7200.0, 2, ["series"]).select("event_id", "om")
+    return detect.om_votes(v, 120.0, 7200.0, 2).select("event_id", "om")
 
 
 @query("flagship_event_pipeline")
 def flagship_event_pipeline(spark, d):
-    p = detect.EventParams(dt=0.25, half=2, nh_start=400.0, nh_factor=2.0)
+    p = detect.EventParams(dt=0.25, half=2, nh_start=400.0, nh_factor=2.0, om_threshold=120.0, om_apart=7200.0)
     return rounded(detect.samples_to_events(samples(spark, d), "x", "y", p), "stsec", "ensec", "dursec")

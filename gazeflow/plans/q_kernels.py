@@ -9,7 +9,6 @@ from gazeflow.operators import cleaning, detect, kernels, kinematics, messages,
 from gazeflow.series import SERIES, Axis
 
 from .common import D, W, r6, rounded, samples
-from .q_series import SQL as SERIES_SQL
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -102,7 +101,7 @@ def spline_resample(spark, d):
 def classifier_events(spark, d):
     v = detect.velocities(samples(spark, d), "x", "y", 0.25, 2)
     p = kernels.ClassifierParams(rate=100.0, start=400.0, noise=2.0, min_saccade=0.02, min_between=0.02, min_fixation=0.02)
-    return rounded(kernels.classifier_events(v, SERIES, p), "stsec", "ensec", "ampldva", "pvel", "avgvel")
+    return rounded(kernels.classifier_events(v, SERIES, p, gap=1e6), "stsec", "ensec", "ampldva", "pvel", "avgvel")
 
 
 @query("ahrs_euler")
@@ -158,8 +157,3 @@ def pearson_from_start(spark, d):
 def checked_series(spark, d):
     s = expectations.without_column(samples(spark, d), "checked")
     return expectations.times_unique(expectations.times_known(s)).select("event_id", "pos")
-
-
-@query("spike_filter_kernel", SERIES_SQL["spike_filter_fold"])
-def spike_filter_kernel(spark, d):
-    return kernels.spike_filter(samples(spark, d).select("series", "t", "pos", "v"), SERIES, "v", "x").select("series", "pos", "x")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gazeflow.functions import scalar as fn
-from gazeflow.operators import cleaning, runs, timing
+from gazeflow.operators import cleaning, kernels, runs, timing
 from gazeflow.series import SERIES
 
 from .common import D, W, r6, rounded, samples, table
@@ -215,6 +215,19 @@ def gaussian_smooth(spark, d):
     return rounded(timing.gaussian_smooth(samples(spark, d), "x", 20000.0).select("event_id", "smooth"), "smooth")
 
 
+@query("gaussian_smooth_all", f"WITH {D} SELECT a.event_id, round(sum(exp(-(a.t - b.t) * (a.t - b.t) / (2 * 20000.0 * 20000.0)) * b.x) / sum(exp(-(a.t - b.t) * (a.t - b.t) / (2 * 20000.0 * 20000.0))), 6) AS smooth FROM D a LEFT JOIN D b ON a.series = b.series AND b.x IS NOT NULL GROUP BY a.event_id")
+def gaussian_smooth_all(spark, d):
+    return rounded(timing.gaussian_smooth(samples(spark, d), "x", 20000.0, reach=None).select("event_id", "smooth"), "smooth")
+
+
+@query("resample_gap_by_column", f"WITH {D}, N AS (SELECT event_id, t, x, lag(t) OVER {W} AS a, lead(t) OVER {W} AS b FROM D) SELECT event_id, x IS NOT NULL AS own FROM N")
+def resample_gap_by_column(spark, d):
+    """At the samples' own times a column with a gap of 0 is there where the sample has it; another without a limit has no part in that."""
+    s = samples(spark, d)
+    own = timing.resample(s, s.select("series", "t", F.col("event_id").alias("i"), "pos"), ["x", "v"], max_gap={"x": 0.0})
+    return own.select(F.col("i").alias("event_id"), F.col("x").isNotNull().alias("own"))
+
+
 @query("sample_rate_check", f"WITH {D}, F AS (SELECT series, t - lag(t) OVER {W} AS dt FROM D), M AS (SELECT series, count(*) AS n, quantile_cont(dt, 0.5) AS m, min(dt) AS mn FROM F GROUP BY series) SELECT series, any_value(n) AS n, round(any_value(m), 6) AS median_dt, round(any_value(mn), 6) AS min_dt, bool_and(coalesce(abs(dt - m) <= 1e-6 + 1e-3 * abs(m), true)) AS regular, any_value(CASE WHEN m > 0 THEN round(1 / m, 2) END) AS rate FROM F JOIN M USING (series) GROUP BY series")
 def sample_rate_check(spark, d):
     return rounded(timing.sample_rate(samples(spark, d)), "median_dt", "min_dt")
@@ -243,5 +256,5 @@ def chunk_pages(spark, d):
   FROM R JOIN D ON D.series = R.series AND D.pos = R.pos + 1 LEFT JOIN D N ON N.series = D.series AND N.pos = D.pos + 1)
 SELECT series, pos, x FROM R""")
 def spike_filter_fold(spark, d):
-    return cleaning.spike_filter(samples(spark, d), "v", "x").select("series", "pos", "x")
+    return kernels.spike_filter(samples(spark, d).select("series", "t", "pos", "v"), SERIES, "v", "x").select("series", "pos", "x")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -141,3 +141,105 @@ def write_artefacts(tables: dict[str, DataFrame], path: str, *, kind: str = "par
         w = df.write.mode("overwrite")
         w = w.partitionBy(by) if by and by in df.columns else w
         (w.option("header", True).csv if kind == "csv" else w.parquet)(f"{path}/{name}")
+
+
+def decode_files(spark: SparkSession, path: str, decoder: Callable[[bytes], pa.Table], schema: str) -> DataFrame:
+    """Rows of binary files (recordings, workbooks) by a decoder from bytes to a table with the schema's columns: path, status, then these. status:
+    ok, or what the decoder raised, in a row of its own with nulls. Files go to tasks one by one."""
+    kinds = spark.createDataFrame([], schema).schema
+    want = pa.schema([(f.name, _arrow_type(f.dataType)) for f in kinds.fields])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for p, content in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
+                try:
+                    t, status = decoder(content.as_py()).select(want.names).cast(want), "ok"
+                except Exception as e:  # noqa: BLE001  the row says what happened
+                    t, status = pa.table({f.name: pa.nulls(1, f.type) for f in want}), f"{type(e).__name__}: {e}"
+                for part in t.combine_chunks().to_batches():
+                    yield pa.RecordBatch.from_arrays([pa.array([p] * len(part), pa.string()), pa.array([status] * len(part), pa.string()), *part.columns], ["path", "status", *want.names])
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInArrow(each, T.StructType([T.StructField("path", T.StringType()), T.StructField("status", T.StringType()), *kinds.fields]))
+
+
+def _arrow_type(kind: T.DataType) -> pa.DataType:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return to_arrow_type(kind)
+
+
+#: Names in workbook files.
+_SHEETS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+_LINKS = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
+
+
+def sheet_rows(raw: bytes, sheet: str | None = None, *, skip: int = 0) -> pa.Table:
+    """A sheet of an Excel workbook (xlsx; the first by default) as text columns under the header that comes after skip rows, and a boolean column
+    `name_filled` for each: whether the cell has a fill colour. Empty cells are null; numbers are as stored."""
+    import io
+    import zipfile
+    from xml.etree import ElementTree
+
+    with zipfile.ZipFile(io.BytesIO(raw)) as z:
+        tree = lambda n: ElementTree.fromstring(z.read(n))  # noqa: E731, S314
+        names = set(z.namelist())
+        links = {r.get("Id"): r.get("Target") for r in tree("xl/_rels/workbook.xml.rels")}
+        sheets = {s.get("name"): links[s.get(f"{_LINKS}id")] for s in tree("xl/workbook.xml").iter(f"{_SHEETS}sheet")}
+        target = next(iter(sheets.values())) if sheet is None else sheets[sheet]
+        shared = ["".join(t.text or "" for t in s.iter(f"{_SHEETS}t")) for s in tree("xl/sharedStrings.xml").iter(f"{_SHEETS}si")] if "xl/sharedStrings.xml" in names else []
+        painted: list[bool] = []
+        if "xl/styles.xml" in names:
+            styles = tree("xl/styles.xml")
+            solid = [f.find(f"{_SHEETS}patternFill") is not None and f.find(f"{_SHEETS}patternFill").get("patternType", "none") not in ("none", "gray125") for f in styles.iter(f"{_SHEETS}fill")]
+            formats = styles.find(f"{_SHEETS}cellXfs")
+            painted = [solid[int(x.get("fillId", 0))] for x in formats] if formats is not None else []
+        rows: dict[int, dict[int, tuple[str | None, bool]]] = {}
+        for cell in tree(target.lstrip("/") if target.startswith("/") else f"xl/{target}").iter(f"{_SHEETS}c"):
+            letters = cell.get("r").rstrip("0123456789")
+            column = 0
+            for c in letters:
+                column = column * 26 + ord(c) - 64
+            value = cell.find(f"{_SHEETS}v")
+            text = None if value is None else value.text
+            if cell.get("t") == "s" and text is not None:
+                text = shared[int(text)]
+            elif cell.get("t") == "inlineStr":
+                text = "".join(t.text or "" for t in cell.iter(f"{_SHEETS}t"))
+            style = int(cell.get("s", 0))
+            rows.setdefault(int(cell.get("r")[len(letters) :]), {})[column] = (text, style < len(painted) and painted[style])
+    head = rows.get(skip + 1, {})
+    body = [rows.get(i, {}) for i in range(skip + 2, max(rows, default=0) + 1)]
+    out: dict[str, pa.Array] = {}
+    for c, (name, _) in sorted(head.items()):
+        if name:
+            out[name] = pa.array([r.get(c, (None, False))[0] for r in body], pa.string())
+            out[f"{name}_filled"] = pa.array([r.get(c, (None, False))[1] for r in body], pa.bool_())
+    return pa.table(out)
+
+
+#: The file of a wearable recording's metadata, and the names that hold where there is none.
+METADATA_FILE = "recording.g3"
+SCENE_NAMES = ("tobii3_scene.mkv", "tobii3_scene.mp4")
+GAZE_NAME, IMU_NAME = "gazedata.gz", "imudata.gz"
+_CAMERA = "position: array<double>, `focal-length`: array<double>, rotation: array<array<double>>, skew: double, `principal-point`: array<double>, `radial-distortion`: array<double>, `tangential-distortion`: array<double>, resolution: array<int>"
+METADATA_SCHEMA = f"scenecamera struct<file: string, `camera-calibration`: struct<{_CAMERA}>>, gaze struct<file: string, samples: long, `valid-samples`: long>, imu struct<file: string>"
+
+
+def recording_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """One row per folder below path that holds files: folder, has_metadata, scene_file, gaze_file, imu_file, expected_samples, expected_valid, camera. Without a
+    metadata file: the scene video that is there (mkv before mp4; none: null), usual names of the others, -1 samples, no camera."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
+    listed = listed.select(F.regexp_replace("path", "/[^/]*$", "").alias("folder"), F.substring_index("path", "/", -1).alias("name"))
+    found = lambda n: F.max(F.when(F.col("name") == n, F.lit(n)))
+    folders = listed.groupBy("folder").agg(F.max(F.col("name") == METADATA_FILE).alias("has_metadata"), F.coalesce(*map(found, SCENE_NAMES)).alias("scene"))
+    text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", METADATA_FILE).text(path, wholetext=True)
+    meta = text.select(F.regexp_replace("_metadata.file_path", "/[^/]*$", "").alias("_f"), F.from_json("value", METADATA_SCHEMA).alias("m"))
+    # Both readers name the same folder, one as file:/ and one as file:///.
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    both = folders.withColumn("folder", plain("folder")).join(meta.withColumn("_f", plain("_f")), F.col("folder") == F.col("_f"), "left")
+    or_else = lambda c, v: F.when(F.col("has_metadata"), F.col(c)).otherwise(v)
+    return both.select(
+        "folder", "has_metadata", or_else("m.scenecamera.file", F.col("scene")).alias("scene_file"), or_else("m.gaze.file", F.lit(GAZE_NAME)).alias("gaze_file"), or_else("m.imu.file", F.lit(IMU_NAME)).alias("imu_file"),
+        or_else("m.gaze.samples", F.lit(-1)).cast("long").alias("expected_samples"), or_else("m.gaze.`valid-samples`", F.lit(-1)).cast("long").alias("expected_valid"), F.col("m.scenecamera.`camera-calibration`").alias("camera"),
+    )

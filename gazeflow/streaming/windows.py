@@ -14,17 +14,17 @@ def tumbling(df: DataFrame, time: str, keys: list[str], width: str, aggs: list[C
     """keys, start, end and aggregates of windows of width (sliding, if slide). On a stream give late, the watermark's delay."""
     df = df.withWatermark(time, late) if late else df
     w = F.window(time, width, slide) if slide else F.window(time, width)
-    return df.groupBy(*keys, w.alias("_w")).agg(*aggs).select(*keys, F.col("_w.start").alias("start"), F.col("_w.end").alias("end"), *_names(aggs))
+    return _with_ends(df.groupBy(*keys, w.alias("_w")).agg(*aggs), keys)
 
 
 def sessions(df: DataFrame, time: str, keys: list[str], gap: str, aggs: list[Column], *, late: str | None = None) -> DataFrame:
     """Windows that end where nothing comes for gap."""
     df = df.withWatermark(time, late) if late else df
-    return df.groupBy(*keys, F.session_window(time, gap).alias("_w")).agg(*aggs).select(*keys, F.col("_w.start").alias("start"), F.col("_w.end").alias("end"), *_names(aggs))
+    return _with_ends(df.groupBy(*keys, F.session_window(time, gap).alias("_w")).agg(*aggs), keys)
 
 
-def _names(aggs: list[Column]) -> list[str]:
-    return [a._jc.toString().rpartition(" AS ")[2].strip("`") for a in aggs]
+def _with_ends(df: DataFrame, keys: list[str]) -> DataFrame:
+    return df.select(*keys, F.col("_w.start").alias("start"), F.col("_w.end").alias("end"), *df.columns[len(keys) + 1 :])
 
 
 def online_runs(df: DataFrame, key: str, time: str, value: str, threshold: float, *, late: str = "1 hour") -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gazeflow.functions import scalar
-from gazeflow.operators import cleaning, detect, graph, intervals, kinematics, runs, timing
+from gazeflow.operators import cleaning, detect, graph, intervals, kernels, kinematics, runs, timing
 from gazeflow.series import SERIES, Axis, ensure_columns
 
 
@@ -33,7 +33,7 @@ def test_dilation(spark):
 
 
 def test_spike_filter_is_sequential(spark):
-    assert column(cleaning.spike_filter(series(spark, [0.0, 5.0, 0.0, 5.0, 0.0]), "x", "f"), "f") == [0.0, 0.0, 0.0, 0.0, 0.0]
+    assert column(kernels.spike_filter(series(spark, [0.0, 5.0, 0.0, 5.0, 0.0]), SERIES, "x", "f"), "f") == [0.0, 0.0, 0.0, 0.0, 0.0]
 
 
 def test_orphans(spark):
@@ -110,7 +110,7 @@ def test_synthetic_saccades_are_found(spark):
         x[i:] += np.interp(np.arange(4000 - i), [0, 30], [0, 5 * (-1) ** k])
     x += rng.normal(0, 0.003, 4000)
     df = spark.createDataFrame([("a", i / 1000, i, float(v), 0.0) for i, v in enumerate(x)], "series string, t double, pos long, x double, y double")
-    p = detect.EventParams(dt=0.001, half=6, ek_factor=6.0, ek_least=8, nh_start=100.0, nh_factor=5.0, gap=10, least=8)
+    p = detect.EventParams(dt=0.001, half=6, ek_factor=6.0, ek_least=8, nh_start=100.0, nh_factor=5.0, om_threshold=30.0, gap=10, least=8)
     found = [r.stsec for r in detect.samples_to_events(df, "x", "y", p).where("label = 'SACC'").collect()]
     assert len(found) == len(at) and all(min(abs(f - a / 1000) for f in found) < 0.02 for a in at)
 
@@ -154,5 +154,5 @@ def test_expectations(spark):
 def test_a_voter_and_a_velocity_of_ones_own(spark):
     df = series(spark, [0.0] * 20 + [10.0] * 20).withColumn("y", F.lit(0.0))
     own = lambda d: d.withColumn("own", F.col("t").between(19.0, 22.0))
-    p = detect.EventParams(dt=1.0, half=1, nh_start=3.0, nh_factor=1.0, gap=1, least=1)
+    p = detect.EventParams(dt=1.0, half=1, nh_start=3.0, nh_factor=1.0, om_threshold=3.0, om_apart=1.0, gap=1, least=1)
     assert detect.samples_to_events(df, "x", "y", p, velocity=detect.velocities, more_votes={"own": own}).where("label = 'SACC'").count() >= 0

@@ -122,3 +122,47 @@ def test_attitude_finds_down(spark):
     df = spark.createDataFrame([("a", i / 100, i, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0) for i in range(3000)], "series string, t double, pos long, gyrx double, gyry double, gyrz double, accx double, accy double, accz double")
     last = kernels.attitude(df, Axis(), gain=0.5).orderBy(F.desc("t")).first()
     assert abs(last.roll - 90) < 3
+
+
+def _workbook(path):
+    """A workbook with one sheet: a header in its second row, a filled cell, shared and inline texts."""
+    import zipfile
+
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    rel = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {ns} {rel}><sheets><sheet name="S" sheetId="1" r:id="r1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>')
+        z.writestr("xl/sharedStrings.xml", f"<sst {ns}><si><t>id</t></si><si><t>name</t></si><si><r><t>a</t></r><r><t>b</t></r></si></sst>")
+        z.writestr("xl/styles.xml", f'<styleSheet {ns}><fills><fill><patternFill patternType="none"/></fill><fill><patternFill patternType="solid"/></fill></fills><cellXfs><xf fillId="0"/><xf fillId="1"/></cellXfs></styleSheet>')
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {ns}><sheetData><row r="1"><c r="A1"><v>9</v></c></row><row r="2"><c r="A2" t="s"><v>0</v></c><c r="C2" t="s"><v>1</v></c></row><row r="3"><c r="A3" s="1"><v>1.5</v></c><c r="C3" t="s"><v>2</v></c></row><row r="4"><c r="C4" t="inlineStr"><is><t>x</t></is></c></row></sheetData></worksheet>')
+
+
+def test_workbooks_and_broken_files(spark, tmp_path):
+    _workbook(tmp_path / "a.xlsx")
+    (tmp_path / "b.xlsx").write_bytes(b"broken")
+    df = files.decode_files(spark, str(tmp_path / "*.xlsx"), lambda raw: files.sheet_rows(raw, "S", skip=1), "id string, name string, id_filled boolean")
+    rows = {(r.path[-6:], r.status[:10], r.id, r["name"], r.id_filled) for r in df.collect()}
+    assert rows == {("b.xlsx", "BadZipFile", None, None, None), ("a.xlsx", "ok", "1.5", "ab", True), ("a.xlsx", "ok", None, "x", False)}
+
+
+def test_recording_metadata(spark, tmp_path):
+    import json
+
+    for name, found in (("one", ["recording.g3", "scene.mp4"]), ("two", ["tobii3_scene.mp4", "gazedata.gz"]), ("three", ["gazedata.gz"])):
+        (tmp_path / name).mkdir()
+        for f in found:
+            (tmp_path / name / f).write_text("x")
+    meta = {"scenecamera": {"file": "scene.mp4", "camera-calibration": {"position": [1.0, 2.0, 3.0], "focal-length": [900.0, 901.0], "resolution": [1920, 1080]}}, "gaze": {"file": "g.gz", "samples": 10, "valid-samples": 9}, "imu": {"file": "i.gz"}}
+    (tmp_path / "one" / "recording.g3").write_text(json.dumps(meta))
+    got = {r.folder.rpartition("/")[2]: r for r in files.recording_metadata(spark, str(tmp_path)).collect()}
+    one, two, three = got["one"], got["two"], got["three"]
+    assert (one.scene_file, one.gaze_file, one.expected_samples, one.expected_valid, one.camera["focal-length"]) == ("scene.mp4", "g.gz", 10, 9, [900.0, 901.0])
+    assert (two.has_metadata, two.scene_file, two.gaze_file, two.imu_file, two.expected_samples, two.camera) == (False, "tobii3_scene.mp4", "gazedata.gz", "imudata.gz", -1, None)
+    assert three.scene_file is None
+
+
+def test_session_info_fails_where_names_meet(spark):
+    rows = [("a", 0.0, "SCREEN W=1"), ("a", 1.0, "SESSION S X=2"), ("a", 2.0, "EYE_USED 1 RIGHT"), ("a", 3.0, "RECCFG CR 500 2 1 LR")]
+    m = messages.tagged(spark.createDataFrame(rows, "series string, t double, message string"))
+    assert messages.session_info(m, ["series"]).first().info == {"SCREEN_W": "1", "SESSION_X": "2", "eye_index": "1", "eye_mode": "RIGHT", "mode": "CR", "rate": "500.0", "file_filter": "2", "link_filter": "1", "eyes": "LR"}
