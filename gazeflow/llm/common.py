@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ SPACES = " \t\n\x0b\x0c\r"
 BROADCAST_ROWS = 250_000
 
 _made: list[tuple[SparkSession, str]] = []
+_tables: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def shared_path(spark: SparkSession, tag: str) -> str:
@@ -46,7 +48,15 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     """df as a table in the shared folder: lineage ends there, and a lost executor costs no recomputation."""
     spark, path = df.sparkSession, shared_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _tables[out] = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Remove tables of written() that no later plan reads."""
+    for t in tables:
+        drop_path(t.sparkSession, _tables.pop(t))
 
 
 def plain(df: DataFrame, **wanted: str) -> DataFrame:

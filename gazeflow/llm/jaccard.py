@@ -11,7 +11,7 @@ such a prefix. Sizes and positions in the prefixes rule out further pairs (both
 others are compared. Shingles are known by 64-bit hashes.
 
 Scale: the order puts shingles that are frequent in a sample last, so that common passages make no long lists; the sample has no
-part in the result. Equal sets are one node. A list is first compared with one of its nodes only, which makes one component of
+part in the result. Equal sets are one node. A list is first compared with single ones of its nodes, which makes one component of
 many alike; then only nodes of different components are compared. No text is shuffled, and whole sets only of pairs to compare.
 """
 
@@ -22,16 +22,18 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, plain, written
+from .common import dropped, maybe_broadcast, plain, written
 from .components import components
 from .simhash import fingerprint_of, hash_blocks
 from .simhash import links as fingerprint_links
 
 #: Documents of the sample, and how many of its most frequent shingles count as frequent, from so many documents on.
 SAMPLE, FREQUENT, LEAST = 20_000, 50_000, 3
+#: Rounds in which a list is compared with one of its nodes, another one each time, before the rest is compared in pairs.
+HUBS = 2
 
 
 def shingle_set(text: str | None, shingle: int) -> np.ndarray:
@@ -104,9 +106,11 @@ def _similar(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int,
 
     sets = owners.select("text").mapInArrow(each, "node long, s array<long>")
     sets = written(sets.groupBy("node").agg(F.first("s").alias("s")), "jaccard-sets")
-    both = pairs.join(sets.select(F.col("node").alias("b"), F.col("s").alias("t")), "b").join(sets.select(F.col("node").alias("a"), "s"), "a")
+    both = sets.select(F.col("node").alias("a"), "s").join(maybe_broadcast(pairs, pairs.count()), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("t")), "b")
     both = both.select("a", "b", F.size("s").alias("n"), F.size("t").alias("m"), F.size(F.array_intersect("s", "t")).alias("c"))
-    return written(both.where(F.col("c") / (F.col("n") + F.col("m") - F.col("c")) >= similarity).select("a", "b"), "jaccard-links")
+    out = written(both.where(F.col("c") / (F.col("n") + F.col("m") - F.col("c")) >= similarity).select("a", "b"), "jaccard-links")
+    dropped(want, sets)
+    return out
 
 
 def near_fingerprints(nodes: DataFrame, max_diff: int) -> DataFrame:
@@ -117,27 +121,50 @@ def near_fingerprints(nodes: DataFrame, max_diff: int) -> DataFrame:
 
 
 def links(docs: DataFrame, nodes: DataFrame, shingle: int, similarity: float, max_diff: int) -> DataFrame:
-    """a, b: edges whose components are those of all pairs of similar nodes. nodes: node, n, sig, prefix, first, each node once."""
+    """node, root: components of the graph of all pairs of similar nodes. nodes: node, n, sig, prefix, first, each node once."""
     able = f"""least(n, m) >= {similarity!r} * greatest(n, m) - 1e-9
       AND 1 + least(n - 1 - p, m - 1 - q) >= {similarity!r} / (1 + {similarity!r}) * (n + m) - 1e-9"""
-    rows = nodes.select("node", "n", F.posexplode("prefix").alias("p", "key"))
     key = Window.partitionBy("key")
-    hub = F.min(F.struct("node", "n", "p")).over(key)
-    met = rows.withColumn("hub", hub).withColumn("last", F.max("node").over(key)).where("hub.node <> last")
-    met = written(met.drop("last"), "jaccard-met")
-    stars = met.withColumn("m", F.col("hub.n")).withColumn("q", F.col("hub.p")).where(f"node <> hub.node AND {able}").select(F.col("hub.node").alias("a"), F.col("node").alias("b"))
-    near = near_fingerprints(nodes, max_diff).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    stars = written(stars.union(near).distinct(), "jaccard-stars")
-    near = components(_similar(stars, docs, nodes, shingle, similarity))
-    near = written(near.withColumnRenamed("node", "r"), "jaccard-near")
+    rows = nodes.select("node", "n", F.posexplode("prefix").alias("p", "key"))
+    # Lists of two nodes at least; a root is the component that a node is known to be in so far.
+    lists = rows.withColumn("last", F.max("node").over(key)).withColumn("low", F.min("node").over(key)).where("low <> last")
+    lists = written(lists.select("key", "node", "n", "p", F.col("node").alias("root"), F.lit(False).alias("used")), "jaccard-lists")
+    tried = found = None
+    for k in range(HUBS):
+        # The hub is the node that meets most others: the text of which others are copies, rather than one of these.
+        meets = lists.withColumn("size", F.count(F.lit(1)).over(key)).groupBy(F.col("node").alias("c")).agg(F.sum("size").alias("meets"))
+        meets = written(meets, "jaccard-meets")
+        hub = F.max(F.struct(~F.col("used"), "meets", "node", "n", "p", "root")).over(key)
+        at_hub = written(lists.join(meets, F.col("node") == F.col("c")).drop("c").withColumn("hub", hub).drop("meets"), "jaccard-hubs")
+        dropped(meets, lists)
+        near = at_hub.withColumn("m", F.col("hub.n")).withColumn("q", F.col("hub.p")).where(f"root <> hub.root AND {able}")
+        near = near.select(F.least("hub.node", "node").alias("a"), F.greatest("hub.node", "node").alias("b"))
+        if k == 0:
+            prints = near_fingerprints(nodes, max_diff)
+            near = near.union(prints.select(F.least("a", "b"), F.greatest("a", "b")))
+        pairs = near.distinct() if tried is None else near.distinct().join(tried, ["a", "b"], "left_anti")
+        pairs = written(pairs, "jaccard-pairs")
+        links = _similar(pairs, docs, nodes, shingle, similarity)
+        tried, found = (pairs, links) if tried is None else (tried.union(pairs), found.union(links))
+        lists = _apart(at_hub.withColumn("used", F.col("used") | (F.col("node") == F.col("hub.node"))).drop("hub"), components(found), key)
+        dropped(at_hub)
     # What is still apart: all pairs of a list that are in different components.
-    apart = met.join(near, F.col("node") == F.col("r"), "left").select("key", "node", "n", "p", F.coalesce("root", "node").alias("root"))
-    apart = apart.withColumn("low", F.min("root").over(key)).withColumn("high", F.max("root").over(key)).where("low <> high").drop("low", "high")
-    apart = written(apart, "jaccard-apart")
-    other = apart.select(F.col("key").alias("k"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("p").alias("q"), F.col("root").alias("root_b"))
-    rest = apart.join(other, (F.col("key") == F.col("k")) & (F.col("node") < F.col("b")) & (F.col("root") != F.col("root_b")) & F.expr(able))
-    rest = written(rest.select(F.col("node").alias("a"), "b").distinct().join(stars, ["a", "b"], "left_anti"), "jaccard-rest")
-    return _similar(rest, docs, nodes, shingle, similarity).union(near.select("r", "root"))
+    other = lists.select(F.col("key").alias("k"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("p").alias("q"), F.col("root").alias("root_b"))
+    rest = lists.join(other, (F.col("key") == F.col("k")) & (F.col("node") < F.col("b")) & (F.col("root") != F.col("root_b")) & F.expr(able))
+    rest = written(rest.select(F.col("node").alias("a"), "b").distinct().join(tried, ["a", "b"], "left_anti"), "jaccard-rest")
+    out = components(found.union(_similar(rest, docs, nodes, shingle, similarity)))
+    dropped(lists, rest)
+    return out
+
+
+def _apart(lists: DataFrame, near: DataFrame, key: WindowSpec) -> DataFrame:
+    """The lists that still have several components, with these. near: node, root."""
+    near = written(near.select(F.col("node").alias("r"), F.col("root").alias("now")), "jaccard-near")
+    rows = lists.join(near, F.col("node") == F.col("r"), "left").select("key", "node", "n", "p", F.coalesce("now", "root").alias("root"), "used")
+    rows = rows.withColumn("low", F.min("root").over(key)).withColumn("high", F.max("root").over(key)).where("low <> high").drop("low", "high")
+    out = written(rows, "jaccard-apart")
+    dropped(near)
+    return out
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, max_diff: int = 2) -> DataFrame:
@@ -151,8 +178,9 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.
     sets = written(with_prefixes(docs, shingle, similarity), "jaccard-prefixes")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first")
     nodes = written(sets.groupBy("node").agg(first, F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("prefix").alias("prefix")), "jaccard-nodes")
-    found = components(links(docs, nodes, shingle, similarity, max_diff)).withColumnRenamed("node", "r")
+    found = links(docs, nodes, shingle, similarity, max_diff).withColumnRenamed("node", "r")
     placed = written(nodes.select("node", "first").join(found, F.col("node") == F.col("r"), "left").select("node", "first", F.coalesce("root", "node").alias("root")), "jaccard-placed")
+    dropped(nodes)
     groups = placed.groupBy("root").agg(F.min("first").alias("first"))
     placed = placed.select(F.col("node").alias("r"), "root").join(groups, "root")
     return sets.join(placed, F.col("node") == F.col("r")).select("doc_id", "text_hash", F.col("first.doc_id").alias("component_id"), F.col("root").alias("node"), "first")

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, packed, plain, table, unpacked, written
+from .common import dropped, maybe_broadcast, packed, plain, table, unpacked, written
 
 _LINES = "split(text, '\\n')"
 _LINE_HASH = "cast(conv(substring(md5(cast(x AS binary)), 1, 8), 16, 10) AS long)"
@@ -76,8 +76,8 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
 
 
 def _counted(gone: DataFrame) -> DataFrame:
-    """gone with a broadcast hint if its lists are short all together."""
-    return maybe_broadcast(gone, gone.agg(F.coalesce(F.sum(F.size("gone") + 4), F.lit(0))).first()[0])
+    """gone with a broadcast hint if its lists are short all together: a narrow row has about five numbers."""
+    return maybe_broadcast(gone, gone.agg(F.coalesce(F.sum(F.size("gone") + 5), F.lit(0))).first()[0] // 5)
 
 
 def line_dedup(docs: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -112,25 +112,27 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     each = written(each.distinct(), "line-pairs")
     again = written(each.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("h").alias("again")), "line-pairs-again")
     bodies = some.select("doc", F.explode(pairs(", concat_ws('\n', x, l[i + 1]) AS body")).alias("p")).select("doc", "p.*")
-    bodies = bodies.join(maybe_broadcast(again, again.count()), F.col("h") == F.col("again"), "left_semi")
+    bodies = bodies.join(again, F.col("h") == F.col("again"), "left_semi")
     # Equal bytes meet here, as in repeated_chunks(). Rows that are equal in document and place are one.
     same = bodies.groupBy("h", "g", "body").agg(F.min(F.struct("doc", "at")).alias("first"), F.max(F.struct("doc", "at")).alias("final"))
     same = same.groupBy(F.col("h").alias("h1"), F.col("g").alias("g1")).agg(F.count(F.lit(1)).alias("texts"), F.first("first").alias("first"), F.first("final").alias("final"))
     # Different texts with the same 128 bits would be left alone.
     first = written(same.where("texts = 1 AND first <> final").drop("texts", "final"), "line-pairs-first")
-    marked = each.join(maybe_broadcast(first, first.count()), (F.col("h") == F.col("h1")) & (F.col("g") == F.col("g1")))
+    marked = each.join(first, (F.col("h") == F.col("h1")) & (F.col("g") == F.col("g1")))
     marked = marked.select("doc", "at", F.struct("doc", "at").eqNullSafe(F.col("first")).alias("stays"))
     out = marked.groupBy("doc").agg(*(F.collect_list(F.when(F.col("stays") == x, F.col("at"))).alias(k) for k, x in (("again", False), ("held", True)))).where("size(again) > 0")
     both = "concat({0}, transform({0}, x -> x + 1))"
-    return out.select("doc", F.expr(f"array_except({both.format('again')}, {both.format('held')})").alias("gone")).where("size(gone) > 0")
+    out = out.select("doc", F.expr(f"array_except({both.format('again')}, {both.format('held')})").alias("gone")).where("size(gone) > 0")
+    out = written(out, "line-gone")
+    dropped(each, again, first)
+    return out
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The columns of docs without repeated blocks of two lines or more (see repeated_lines()), wherever these begin and end;
     documents that lose all their lines go. Places are compared as in line_dedup(), and rows are treated as there."""
     rows, names = packed(docs, doc_id="doc_id:long", text="text:string")
-    gone = written(repeated_lines(_keyed(plain(docs, doc_id="doc_id:long", text="text:string"))), "line-gone")
-    gone = _counted(gone).withColumnRenamed("doc", "lost")
+    gone = repeated_lines(_keyed(plain(docs, doc_id="doc_id:long", text="text:string"))).withColumnRenamed("doc", "lost")
     out = _keyed(rows).join(gone, F.col("doc").eqNullSafe(F.col("lost")), "left")
     left = _bind(_LINES, "l", "transform(array_except(sequence(0, size(l) - 1), gone), i -> l[i])")
     out = out.withColumn("left", F.expr(f"CASE WHEN gone IS NOT NULL THEN {left} END")).where("left IS NULL OR size(left) > 0")

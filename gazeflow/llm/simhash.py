@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import packed, plain, table, unpacked, written
+from .common import dropped, maybe_broadcast, packed, plain, table, unpacked, written
 from .components import components
 
 SEED = 42
@@ -178,6 +178,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, max_diff: int = 2) ->
     nodes = written(sigs.groupBy("sig").agg(first).withColumn("node", F.conv(F.hex("sig"), 16, -10).cast("long")), "simhash-nodes")
     found = components(links(nodes.select("node", "sig"), 8, max_diff)).withColumnRenamed("node", "n")
     placed = written(nodes.join(found, F.col("node") == F.col("n"), "left").select("sig", "first", F.coalesce("root", "node").alias("node")), "simhash-placed")
+    dropped(nodes)
     groups = placed.groupBy("node").agg(F.min("first").alias("first"))
     placed = placed.select("sig", "node").join(groups, "node").select(F.col("sig").alias("s"), "node", "first")
     return sigs.join(placed, F.col("sig") == F.col("s")).select("doc_id", "text_hash", "sig", F.col("first.doc_id").alias("component_id"), "node", "first")
@@ -188,13 +189,14 @@ def one_of_each(docs: DataFrame, find: Callable[..., DataFrame], **how) -> DataF
     hash; of rows that are equal in both, one."""
     found = find(docs, **how)
     own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
-    stays = written(found.where(own.eqNullSafe(F.col("first"))).groupBy(F.col("doc_id").alias("i"), F.col("text_hash").alias("h")).agg(F.count(F.lit(1)).alias("times")), "simhash-stay")
+    each = found.groupBy(F.col("doc_id").alias("i"), F.col("text_hash").alias("h"), own.eqNullSafe(F.col("first")).alias("stays")).agg(F.count(F.lit(1)).alias("times"))
+    # Most documents stay, and once: only the others are looked up.
+    odd = written(each.where("NOT stays OR times > 1"), "simhash-odd")
     rows, names = packed(docs, doc_id="doc_id:long", text="text:string")
     rows = rows.withColumn("text_hash", F.xxhash64("text"))
-    kept = rows.join(stays, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("text_hash") == F.col("h")))
-    once = kept.where("times = 1")
-    again = kept.where("times > 1").groupBy("i", "h").agg(F.first("row").alias("row"))
-    return unpacked(once.select("row").unionByName(again.select("row")), names)
+    met = rows.join(maybe_broadcast(odd, odd.count()), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("text_hash") == F.col("h")), "left")
+    again = met.where("stays").groupBy("i", "h").agg(F.first("row").alias("row"))
+    return unpacked(met.where("stays IS NULL").select("row").unionByName(again.select("row")), names)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
