@@ -33,7 +33,7 @@ from .simhash import links as fingerprint_links
 #: Documents of the sample, and how many of its most frequent shingles count as frequent, from so many documents on.
 SAMPLE, FREQUENT, LEAST = 20_000, 50_000, 3
 #: Rounds in which a list is compared with one of its nodes, another one each time, before the rest is compared in pairs.
-HUBS = 2
+HUBS = 1
 
 
 def shingle_set(text: str | None, shingle: int) -> np.ndarray:
@@ -128,14 +128,14 @@ def links(docs: DataFrame, nodes: DataFrame, shingle: int, similarity: float, ma
     rows = nodes.select("node", "n", F.posexplode("prefix").alias("p", "key"))
     # Lists of two nodes at least; a root is the component that a node is known to be in so far.
     lists = rows.withColumn("last", F.max("node").over(key)).withColumn("low", F.min("node").over(key)).where("low <> last")
-    lists = written(lists.select("key", "node", "n", "p", F.col("node").alias("root"), F.lit(False).alias("used")), "jaccard-lists")
+    lists = lists.withColumn("size", F.count(F.lit(1)).over(key))
+    lists = written(lists.select("key", "node", "n", "p", F.col("node").alias("root"), F.lit(False).alias("used"), "size"), "jaccard-lists")
     tried = found = None
     for k in range(HUBS):
         # The hub is the node that meets most others: the text of which others are copies, rather than one of these.
-        meets = lists.withColumn("size", F.count(F.lit(1)).over(key)).groupBy(F.col("node").alias("c")).agg(F.sum("size").alias("meets"))
-        meets = written(meets, "jaccard-meets")
+        meets = written(lists.groupBy(F.col("node").alias("c")).agg(F.sum("size").alias("meets")), "jaccard-meets")
         hub = F.max(F.struct(~F.col("used"), "meets", "node", "n", "p", "root")).over(key)
-        at_hub = written(lists.join(meets, F.col("node") == F.col("c")).drop("c").withColumn("hub", hub).drop("meets"), "jaccard-hubs")
+        at_hub = written(lists.join(maybe_broadcast(meets, meets.count()), F.col("node") == F.col("c")).drop("c", "size").withColumn("hub", hub).drop("meets"), "jaccard-hubs")
         dropped(meets, lists)
         near = at_hub.withColumn("m", F.col("hub.n")).withColumn("q", F.col("hub.p")).where(f"root <> hub.root AND {able}")
         near = near.select(F.least("hub.node", "node").alias("a"), F.greatest("hub.node", "node").alias("b"))
@@ -160,8 +160,8 @@ def links(docs: DataFrame, nodes: DataFrame, shingle: int, similarity: float, ma
 def _apart(lists: DataFrame, near: DataFrame, key: WindowSpec) -> DataFrame:
     """The lists that still have several components, with these. near: node, root."""
     near = written(near.select(F.col("node").alias("r"), F.col("root").alias("now")), "jaccard-near")
-    rows = lists.join(near, F.col("node") == F.col("r"), "left").select("key", "node", "n", "p", F.coalesce("now", "root").alias("root"), "used")
-    rows = rows.withColumn("low", F.min("root").over(key)).withColumn("high", F.max("root").over(key)).where("low <> high").drop("low", "high")
+    rows = lists.join(maybe_broadcast(near, near.count()), F.col("node") == F.col("r"), "left").select("key", "node", "n", "p", F.coalesce("now", "root").alias("root"), "used")
+    rows = rows.withColumn("low", F.min("root").over(key)).withColumn("high", F.max("root").over(key)).withColumn("size", F.count(F.lit(1)).over(key)).where("low <> high").drop("low", "high")
     out = written(rows, "jaccard-apart")
     dropped(near)
     return out

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from .common import dropped, maybe_broadcast, packed, plain, table, unpacked, written
 
+#: So many 8-byte hashes are broadcast at most.
+HASHES = 2_000_000
 _LINES = "split(text, '\\n')"
 _LINE_HASH = "cast(conv(substring(md5(cast(x AS binary)), 1, 8), 16, 10) AS long)"
 #: From the hashes of the lines of a text: the rolling hash at each.
@@ -112,7 +114,8 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     each = written(each.distinct(), "line-pairs")
     again = written(each.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("h").alias("again")), "line-pairs-again")
     bodies = some.select("doc", F.explode(pairs(", concat_ws('\n', x, l[i + 1]) AS body")).alias("p")).select("doc", "p.*")
-    bodies = bodies.join(again, F.col("h") == F.col("again"), "left_semi")
+    # One 8-byte column: a relation of HASHES rows is 64 MB at most. Without it the text of all pairs would be shuffled.
+    bodies = bodies.join(maybe_broadcast(again, again.count(), HASHES), F.col("h") == F.col("again"), "left_semi")
     # Equal bytes meet here, as in repeated_chunks(). Rows that are equal in document and place are one.
     same = bodies.groupBy("h", "g", "body").agg(F.min(F.struct("doc", "at")).alias("first"), F.max(F.struct("doc", "at")).alias("final"))
     same = same.groupBy(F.col("h").alias("h1"), F.col("g").alias("g1")).agg(F.count(F.lit(1)).alias("texts"), F.first("first").alias("first"), F.first("final").alias("final"))
@@ -132,7 +135,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """The columns of docs without repeated blocks of two lines or more (see repeated_lines()), wherever these begin and end;
     documents that lose all their lines go. Places are compared as in line_dedup(), and rows are treated as there."""
     rows, names = packed(docs, doc_id="doc_id:long", text="text:string")
-    gone = repeated_lines(_keyed(plain(docs, doc_id="doc_id:long", text="text:string"))).withColumnRenamed("doc", "lost")
+    gone = _counted(repeated_lines(_keyed(plain(docs, doc_id="doc_id:long", text="text:string")))).withColumnRenamed("doc", "lost")
     out = _keyed(rows).join(gone, F.col("doc").eqNullSafe(F.col("lost")), "left")
     left = _bind(_LINES, "l", "transform(array_except(sequence(0, size(l) - 1), gone), i -> l[i])")
     out = out.withColumn("left", F.expr(f"CASE WHEN gone IS NOT NULL THEN {left} END")).where("left IS NULL OR size(left) > 0")
