@@ -18,6 +18,9 @@ SPACES = " \t\n\x0b\x0c\r"
 #: A side with at most so many narrow rows is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 250_000
 
+#: With this setting a finished query's shuffle files go at once, rather than when the driver collects its garbage.
+_SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _made: list[tuple[SparkSession, str]] = []
 _tables: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
@@ -45,9 +48,15 @@ def _clean() -> None:
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """df as a table in the shared folder: lineage ends there, and a lost executor costs no recomputation."""
+    """df as a table in the shared folder: lineage ends there, and a lost executor costs no recomputation. The shuffle files
+    of the write have no later reader and are removed with its end."""
     spark, path = df.sparkSession, shared_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    before = spark.conf.get(_SHUFFLE_CLEANUP, None)
+    spark.conf.set(_SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_SHUFFLE_CLEANUP) if before is None else spark.conf.set(_SHUFFLE_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     _tables[out] = path
     return out

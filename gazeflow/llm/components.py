@@ -9,20 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_path, shared_path
+from .common import dropped, written
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root: each node of an edge (columns a, b: long) and the smallest node that it can reach. Self-links and repeated
     edges don't matter; nulls are no nodes; no edges: no rows."""
-    spark = edges.sparkSession
-
-    def put(df: DataFrame) -> tuple[DataFrame, str]:
-        path = shared_path(spark, "stars")
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path), path
-
-    now, path = put(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "stars")
     before = None
     while True:
         state = tuple(now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.col("v") % 1000003)).first())
@@ -35,5 +28,5 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m"))
         small = large.join(down, F.col("u") == F.col("w"))
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(down.select("w", "m")).distinct()
-        old, (now, path) = path, put(small)
-        drop_path(spark, old)
+        old, now = now, written(small, "stars")
+        dropped(old)

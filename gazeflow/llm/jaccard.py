@@ -120,16 +120,22 @@ def near_fingerprints(nodes: DataFrame, max_diff: int) -> DataFrame:
     return same.union(fingerprint_links(each.where("node = low").select("node", "sig"), 8, max_diff))
 
 
-def links(docs: DataFrame, nodes: DataFrame, shingle: int, similarity: float, max_diff: int) -> DataFrame:
-    """node, root: components of the graph of all pairs of similar nodes. nodes: node, n, sig, prefix, first, each node once."""
-    able = f"""least(n, m) >= {similarity!r} * greatest(n, m) - 1e-9
-      AND 1 + least(n - 1 - p, m - 1 - q) >= {similarity!r} / (1 + {similarity!r}) * (n + m) - 1e-9"""
+def _lists(nodes: DataFrame) -> DataFrame:
+    """The inverted index, lists of two nodes at least: key, node, n, p (place in the prefix), root (the component that a node is known to
+    be in so far), used, size. nodes: node, n, prefix, each node once."""
     key = Window.partitionBy("key")
     rows = nodes.select("node", "n", F.posexplode("prefix").alias("p", "key"))
-    # Lists of two nodes at least; a root is the component that a node is known to be in so far.
     lists = rows.withColumn("last", F.max("node").over(key)).withColumn("low", F.min("node").over(key)).where("low <> last")
     lists = lists.withColumn("size", F.count(F.lit(1)).over(key))
-    lists = written(lists.select("key", "node", "n", "p", F.col("node").alias("root"), F.lit(False).alias("used"), "size"), "jaccard-lists")
+    return written(lists.select("key", "node", "n", "p", F.col("node").alias("root"), F.lit(False).alias("used"), "size"), "jaccard-lists")
+
+
+def links(docs: DataFrame, nodes: DataFrame, lists: DataFrame, shingle: int, similarity: float, max_diff: int) -> DataFrame:
+    """node, root: components of the graph of all pairs of similar nodes. nodes: node, sig, first, each node once; lists: as of
+    _lists(), dropped here."""
+    able = f"""least(n, m) >= {similarity!r} * greatest(n, m) - 1e-9
+      AND 1 + least(n - 1 - p, m - 1 - q) >= {similarity!r} / (1 + {similarity!r}) * (n + m) - 1e-9"""
+    key = Window.partitionBy("key")
     tried = found = None
     for k in range(HUBS):
         # The hub is the node that meets most others: the text of which others are copies, rather than one of these.
@@ -178,7 +184,13 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.
     sets = written(with_prefixes(docs, shingle, similarity), "jaccard-prefixes")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first")
     nodes = written(sets.groupBy("node").agg(first, F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("prefix").alias("prefix")), "jaccard-nodes")
-    found = links(docs, nodes, shingle, similarity, max_diff).withColumnRenamed("node", "r")
+    # The prefixes are the bulk of these tables: each is kept only until it has been read.
+    whole, sets = sets, written(sets.select("doc_id", "text_hash", "node"), "jaccard-members")
+    dropped(whole)
+    lists = _lists(nodes)
+    whole, nodes = nodes, written(nodes.select("node", "sig", "first"), "jaccard-heads")
+    dropped(whole)
+    found = links(docs, nodes, lists, shingle, similarity, max_diff).withColumnRenamed("node", "r")
     placed = written(nodes.select("node", "first").join(found, F.col("node") == F.col("r"), "left").select("node", "first", F.coalesce("root", "node").alias("root")), "jaccard-placed")
     dropped(nodes)
     groups = placed.groupBy("root").agg(F.min("first").alias("first"))
