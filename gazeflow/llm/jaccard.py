@@ -18,6 +18,7 @@ many alike; then only nodes of different components are compared. No text is shu
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from math import ceil
 
 import numpy as np
@@ -34,6 +35,8 @@ from .simhash import links as fingerprint_links
 SAMPLE, FREQUENT, LEAST = 20_000, 50_000, 3
 #: Rounds in which a list is compared with one of its nodes, another one each time, before the rest is compared in pairs.
 HUBS = 1
+#: Passes over the pairs to compare, by their second node: each shuffles such a part of the sets of all pairs, which bounds the disk.
+PASSES = 2
 
 
 def shingle_set(text: str | None, shingle: int) -> np.ndarray:
@@ -106,9 +109,15 @@ def _similar(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int,
 
     sets = owners.select("text").mapInArrow(each, "node long, s array<long>")
     sets = written(sets.groupBy("node").agg(F.first("s").alias("s")), "jaccard-sets")
-    both = sets.select(F.col("node").alias("a"), "s").join(maybe_broadcast(pairs, pairs.count()), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("t")), "b")
-    both = both.select("a", "b", F.size("s").alias("n"), F.size("t").alias("m"), F.size(F.array_intersect("s", "t")).alias("c"))
-    out = written(both.where(F.col("c") / (F.col("n") + F.col("m") - F.col("c")) >= similarity).select("a", "b"), "jaccard-links")
+    found = []
+    for k in range(PASSES):
+        mine = F.pmod(F.xxhash64("b"), F.lit(PASSES)) == k
+        some = pairs.where(mine)
+        other = sets.select(F.col("node").alias("b"), F.col("s").alias("t")).where(mine)
+        both = sets.select(F.col("node").alias("a"), "s").join(maybe_broadcast(some, some.count()), "a").join(other, "b")
+        both = both.select("a", "b", F.size("s").alias("n"), F.size("t").alias("m"), F.size(F.array_intersect("s", "t")).alias("c"))
+        found.append(written(both.where(F.col("c") / (F.col("n") + F.col("m") - F.col("c")) >= similarity).select("a", "b"), "jaccard-links"))
+    out = reduce(DataFrame.union, found)
     dropped(want, sets)
     return out
 
