@@ -71,6 +71,49 @@ def test_near_copies_at_similarity(spark):
     assert set(range(40)) <= stay and len(stay) <= 42
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 3000), st.integers(0, 3000), st.floats(0, 1), st.integers(0, 1 << 30))
+def test_sketches_never_differ_in_more_bits_than_sets(n, m, share, seed):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(seed)
+    pool = np.unique(rng.integers(-(1 << 63), (1 << 63) - 1, n + m))
+    a = pool[:n]
+    b = np.union1d(a[: int(share * min(n, m))], pool[n:][: m - int(share * min(n, m))])
+    lists = [pa.array([np.empty(0, np.int64), jaccard.odd_sketch(x)], pa.list_(pa.int64()))[1:] for x in (a, b)]
+    bits, apart = int(jaccard.differing(*lists)[0]), len(np.setxor1d(a, b))
+    assert bits <= apart and (apart - bits) % 2 == 0
+
+
+def test_chance_meetings_shuffle_no_sets(spark, monkeypatch):
+    """Texts that share single passages by chance meet in many lists; only whole sets of near copies are compared."""
+    rng = np.random.default_rng(5)
+    texts = [[f"u{i}" for i in rng.integers(0, 1 << 40, 120)] for _ in range(160)]
+    for k in range(0, 160, 2):
+        for at in rng.choice(20, 8, replace=False):
+            texts[k + 1][6 * at : 6 * at + 5] = texts[k][6 * at : 6 * at + 5]
+    copies = [[*t[:-1], "changed"] for t in texts[:6]]
+    made, rows = jaccard.written, {}
+
+    def counted(df, tag):
+        out = made(df, tag)
+        rows[tag] = rows.get(tag, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "written", counted)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts + copies)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs).collect()}
+    assert got == {i: i - 160 if i >= 160 else i for i in range(166)}
+    assert rows["jaccard-pairs"] > 40 and rows["jaccard-sets"] <= 16
+
+
+def test_near_copies_in_many_passes(spark, monkeypatch):
+    """Pairs beyond the bounds of a pass, and texts beyond those of a broadcast, take more passes."""
+    for name in ("SET_PAIRS", "SKETCH_PAIRS", "BROADCAST_ROWS"):
+        monkeypatch.setattr(jaccard, name, 7)
+    test_near_copies_at_similarity(spark)
+
+
 def test_op3(spark, small):
     got = queries.QUERIES["op3_warc"](spark, small).toPandas().set_index("page_id")
     pages = {r.page_id: (r.html or "").encode() for r in spark.read.parquet(f"{small}/pages.parquet").collect()}
