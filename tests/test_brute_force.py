@@ -371,3 +371,20 @@ def test_zero_based(spark):
     with pytest.raises(PySparkException):
         timing.zero_based(df).collect()
     assert Axis(("series",)).order == ["t", "pos"] and pd.__version__
+
+
+def met(frame):
+    """(series1, series2): the day and both members' means of v and k, for each pair of all series and each day that both have."""
+    y = frame.assign(day=np.floor(frame.t / 86400)).groupby(["series", "day"]).agg(a=("v", "mean"), b=("k", "mean")).reset_index()
+    of = {s: {r.day: (r.a, r.b) for r in g.itertuples()} for s, g in y.groupby("series")}
+    return {(s, o): [(d, *of[s][d], *of[o][d]) for d in sorted(of[s].keys() & of[o].keys())] for s in of for o in of if s > o}
+
+
+def test_correlation_of_all_pairs(spark, small, frame):
+    """Pairs of any two series, also of those whose numbers end in other digits."""
+    want = {k: np.array(v) for k, v in met(frame).items() if len(v) >= 5}
+    got = {(r.series1, r.series2): r for r in run(spark, small, "pairwise_corr").itertuples()}
+    assert got.keys() == want.keys() and any(s % 10 != o % 10 for s, o in want)
+    for k, v in want.items():
+        r = got[k]
+        assert r.n == len(v) and abs(r.ra - np.corrcoef(v[:, 1], v[:, 3])[0, 1]) < 6e-5 and abs(r.rb - np.corrcoef(v[:, 2], v[:, 4])[0, 1]) < 6e-5
