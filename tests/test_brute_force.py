@@ -388,3 +388,10 @@ def test_correlation_of_all_pairs(spark, small, frame):
     for k, v in want.items():
         r = got[k]
         assert r.n == len(v) and abs(r.ra - np.corrcoef(v[:, 1], v[:, 3])[0, 1]) < 6e-5 and abs(r.rb - np.corrcoef(v[:, 2], v[:, 4])[0, 1]) < 6e-5
+
+
+def test_distance_of_all_pairs(spark, small, frame):
+    want = {(s, o, d): math.hypot(a1 - a2, b1 - b2) for (s, o), v in met(frame).items() for d, a1, b1, a2, b2 in v}
+    got = {(r.series1, r.series2, r.day): r.dist for r in run(spark, small, "pairwise_distance").itertuples()}
+    assert got.keys() == want.keys() and any(s % 10 != o % 10 for s, o, _ in want)
+    assert all(abs(got[k] - v) < 6e-5 for k, v in want.items())
