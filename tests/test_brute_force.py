@@ -1,6 +1,7 @@
 """Queries that SQL doesn't express, against plain versions in NumPy and Python, on the smallest tables; and the cases that they stand for."""
 
 import math
+import re
 from itertools import pairwise
 
 import numpy as np
@@ -9,7 +10,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from gazeflow.operators import detect, graph, intervals, kernels, kinematics, timing, traces
+from gazeflow.operators import detect, graph, intervals, kernels, kinematics, study, timing, traces
 from gazeflow.plans import catalog, common
 from gazeflow.series import SERIES, Axis
 
@@ -395,3 +396,44 @@ def test_distance_of_all_pairs(spark, small, frame):
     got = {(r.series1, r.series2, r.day): r.dist for r in run(spark, small, "pairwise_distance").itertuples()}
     assert got.keys() == want.keys() and any(s % 10 != o % 10 for s, o, _ in want)
     assert all(abs(got[k] - v) < 6e-5 for k, v in want.items())
+
+
+def no_shuffle_of_pairs(df):
+    top, *rest = re.split("CartesianProduct|BroadcastNestedLoopJoin", df._jdf.queryExecution().executedPlan().toString())
+    return len(rest) == 1 and "Exchange" not in top
+
+
+def test_correlated_pairs_stay_where_they_are_made(spark, small):
+    """Only the days of series are shuffled, before they meet: the pairs of a GB would fill the disk."""
+    assert no_shuffle_of_pairs(catalog.queries()["pairwise_corr"](spark, small))
+
+
+@pytest.mark.parametrize("size", [4, 1024])
+def test_correlations_of_odd_values(spark, monkeypatch, size):
+    """Members without values, of one value, of values that hardly vary, not finite, huge; in one block and in many."""
+    for name, v in (("BLOCK", size), ("BLOCK_LEAST", size), ("BLOCKS", 3), ("PAIRS", 7)):
+        monkeypatch.setattr(study, name, v)
+    rng = np.random.default_rng(5)
+    kinds = [lambda n: rng.normal(0, 1, n), lambda n: np.full(n, 3.3), lambda n: 1e9 + rng.normal(0, 1e-3, n), lambda n: rng.integers(0, 2, n) * 1.0, lambda n: 1e-120 * rng.normal(0, 1, n), lambda n: np.where(np.arange(n) % 4 == 0, np.nan, rng.normal(0, 1, n))]
+    rows = []
+    for s in range(23):
+        days = np.flatnonzero(rng.random(12) < (0.3 if s % 5 == 0 else 0.9))
+        for d, v, w in zip(days, kinds[s % 6](len(days)), kinds[s * 7 % 5](len(days)), strict=True):
+            rows.append((s, int(d), None if rng.random() < 0.2 or s == 13 else float(v), float(w)))
+    df = spark.createDataFrame([*rows, (None, 1, 1.0, 1.0), (3, None, 1.0, 1.0)], "s long, d long, v double, w double")
+    got = {(r.s1, r.s2): (r.n, r.rv, r.rw) for r in study.correlations(df, "s", "d", {"v": "rv", "w": "rw"}, 3, 4).collect()}
+    of = {s: {r[1]: r[2:] for r in rows if r[0] == s} for s in range(23)}
+    want = {(s, o): [(*of[s][d], *of[o][d]) for d in of[s].keys() & of[o].keys()] for s in of for o in of if s > o}
+    assert got.keys() == {k for k, v in want.items() if len(v) >= 3}
+    for k, (n, *r) in got.items():
+        assert n == len(want[k])
+        for i in (0, 1):
+            x = np.array([(a[i], a[i + 2]) for a in want[k] if a[i] is not None and a[i + 2] is not None]).T
+            if not x.size:
+                assert r[i] is None
+            elif np.isnan(x).any() or (x == x[:, :1]).all(axis=1).any():
+                assert math.isnan(r[i])
+            else:
+                a, b = x - x[:, :1]
+                a, b = (a - a.mean()) / np.abs(a).max(), (b - b.mean()) / np.abs(b).max()
+                assert abs(r[i] - a @ b / math.sqrt(a @ a) / math.sqrt(b @ b)) < 6e-5
