@@ -437,3 +437,20 @@ def test_correlations_of_odd_values(spark, monkeypatch, size):
                 a, b = x - x[:, :1]
                 a, b = (a - a.mean()) / np.abs(a).max(), (b - b.mean()) / np.abs(b).max()
                 assert abs(r[i] - a @ b / math.sqrt(a @ a) / math.sqrt(b @ b)) < 6e-5
+
+
+def test_distant_pairs_stay_where_they_are_made(spark, small):
+    assert no_shuffle_of_pairs(catalog.queries()["pairwise_distance"](spark, small))
+
+
+@pytest.mark.parametrize("size", [4, 1024])
+def test_distances_of_odd_values(spark, monkeypatch, size):
+    for name, v in (("BLOCK", size), ("BLOCK_LEAST", size), ("BLOCKS", 3), ("PAIRS", 7)):
+        monkeypatch.setattr(study, name, v)
+    rng = np.random.default_rng(6)
+    rows = [(s, d, None if s % 7 == 3 else [float(rng.normal()), math.nan, 1e9, math.inf][d % 4 if s % 2 else 0], float(rng.normal())) for s in range(23) for d in range(8) if rng.random() < 0.7]
+    got = {(r.s1, r.s2, r.d): r.dist for r in study.distances(spark.createDataFrame([*rows, (None, 1, 1.0, 1.0)], "s long, d long, v double, w double"), "s", "d", ["v", "w"], "dist", 4).collect()}
+    want = {(s, o, d): None if v is None or x is None else math.nan if math.isinf(v) and v == x else math.sqrt((v - x) * (v - x) + (w - y) * (w - y)) for s, d, v, w in rows for o, e, x, y in rows if d == e and s > o}
+    assert got.keys() == want.keys()
+    for k, v in want.items():
+        assert got[k] is None if v is None else got[k] == v or math.isnan(got[k]) and math.isnan(v) or abs(got[k] - v) < 6e-5 * max(1, v / 1e9)
