@@ -6,6 +6,7 @@ from itertools import pairwise
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -454,3 +455,16 @@ def test_distances_of_odd_values(spark, monkeypatch, size):
     assert got.keys() == want.keys()
     for k, v in want.items():
         assert got[k] is None if v is None else got[k] == v or math.isnan(got[k]) and math.isnan(v) or abs(got[k] - v) < 6e-5 * max(1, v / 1e9)
+
+
+def test_pairs_compared_at_a_time_change_nothing(monkeypatch):
+    rng = np.random.default_rng(7)
+    kind = pa.struct([("s", pa.int64()), ("d", pa.int64()), ("v", pa.float64())])
+    p, q = (study._Block(pa.array([{"s": s, "d": d, "v": rng.normal()} for s in range(lo, 40, 2) for d in range(9) if rng.random() < 0.8], kind)) for lo in (0, 1))
+    for kernel, more in ((study._correlated, (3, 4)), (study._apart, (4,))):
+        for same in (True, False):
+            seen = []
+            for at_a_time in (7, 200_000):
+                monkeypatch.setattr(study, "PAIRS", at_a_time)
+                seen.append(sorted(r for out in kernel(p, p if same else q, same, *more) for r in zip(*(x.tolist() for x in out), strict=True)))
+            assert seen[0] == seen[1] and len(seen[0]) > 100 and all(r[0] > r[1] for r in seen[0])
